@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, packing, pieces, sharding, toxicity
+from . import embeddings, fingerprints, licenses, lines, packing, pieces, sharding, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_crc32", s[0].alias("score"), F.get(s, F.lit(1)).alias("second_score"), F.get(s, F.lit(2)).alias("third_score"), F.size(s).alias("n_segmentations"), "round_trip")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_and_fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op3_packing, op4_embeddings, op6_toxicity, op7_sharding, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_packing, op4_embeddings, op6_toxicity, op7_sharding, op8_lines, op10_licenses)}
 ORACLES: dict[str, str] = {}
