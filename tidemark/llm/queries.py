@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, licenses, lines, near, packing, pieces, sharding, toxicity
+from . import embeddings, fingerprints, licenses, lines, near, packing, pieces, repeats, sharding, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"), 400)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -52,5 +56,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_packing, op4_embeddings, op6_toxicity, op7_sharding, op8_lines, op9_near, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_packing, op4_embeddings, op5_repeats, op6_toxicity, op7_sharding, op8_lines, op9_near, op10_licenses)}
 ORACLES: dict[str, str] = {}
