@@ -1,33 +1,56 @@
-"""A corpus pipeline: toxicity filter and packing (other stages follow)."""
+"""A corpus pipeline: toxicity filter, line dedup, near-dedup, repeated strings, packing.
+
+Each stage works on all that the one before it kept. All but the last return the columns
+of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import lines, near, packing, repeats, toxicity
+from tidemark.llm.common import durable, table
+
 
-from tidemark.llm import packing, toxicity
-from tidemark.llm.common import table
+def _with_n_chars(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits the classifier on the stage's documents and drops those it predicts to be toxic."""
+    """Fits the classifier on the stage's documents and drops those it predicts to be toxic (score >= 0.7)."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, 0.7).where("predicted = 0").drop("score", "predicted")
+    return toxicity.score(docs, model, 0.7).where("predicted = 0").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines of which an earlier document or line has a copy within one edit."""
+    return _with_n_chars(lines.dedup_lines(docs).select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each class of near-duplicates; texts without words all stay."""
+    stay = near.near_classes(docs, 0.8).where("kept").select(F.col("doc_id").alias("stay")).distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay), "left_semi")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts all bytes covered by a 400-byte string that also starts elsewhere."""
+    return _with_n_chars(repeats.remove_repeats(docs, 400))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into windows; one row for each piece."""
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", cut_repeats), ("best-fit packing", pack)]
+#: The classifier, Order MinHash and best-fit packing are not SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import durable
-
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
