@@ -244,21 +244,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     Rows with equal id and text are one place. Null ids are one id. Texts under `length` bytes are unchanged.
     """
     rows, names = _with_spans(docs, length, id_col, text_col)
-    schema_text = F.col(f"`{text_col}`")
+    columns, spans_col = docs.columns, names["spans"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(text_col).to_pylist(), b.column(names["spans"]).to_pylist()
+            texts, spans = b.column(text_col).to_pylist(), b.column(spans_col).to_pylist()
             out = []
             for text, s in zip(texts, spans):
                 t = _raw(text)
                 edges = [0, *(x for c in removed(s, length, len(t)) for x in c), len(t)]
                 out.append(text if not s else b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore"))
-            cols = [pa.array(out, pa.string()) if c == text_col else b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            cols = [pa.array(out, pa.string()) if c == text_col else b.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    assert schema_text is not None
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(names["spans"])).mapInArrow(cut, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], F.col(spans_col)).mapInArrow(cut, docs.schema)
 
 
 def repeat_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
