@@ -12,10 +12,10 @@ _PAIR = r'[^=,\s"]+\s*=\s*"(?:[^"\\]|\\.)*"'
 
 def unescape(c: Column) -> Column:
     """Undoes backslash escapes of a quoted value: \\\\, \\" and \\n."""
-    mark = ""
+    mark = "\u0001"
     c = F.regexp_replace(c, r"\\\\", mark)
     c = F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"\\(.)", "$1")
-    return F.regexp_replace(c, mark, r"\\\\")
+    return F.regexp_replace(c, mark, r"\\")
 
 
 def escape(c: Column) -> Column:

@@ -51,14 +51,14 @@ _LOGFMT = r'([^\s="]+)(?:=(?:"((?:[^"\\]|\\.)*)(?:"|$)|(\S*)))?'
 
 
 def parse_logfmt(line: Column) -> Column:
-    """key=value pairs: quoted values may hold \\n, \\t, \\" and \\\; a bare key is true; an open quote takes the rest. The last of equal keys wins."""
+    """key=value pairs: quoted values may hold backslash escapes; a bare key is true; an open quote takes the rest. The last of equal keys wins."""
     tokens = F.regexp_extract_all(line, F.lit(f"({_LOGFMT})"), F.lit(1))
 
     def value(t: Column) -> Column:
         quoted = F.regexp_extract(t, r'(?s)^[^="]+="(.*?)"?$', 1)
         mark = "\u0001"
         plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, r"\\\\", mark), r"\\n", "\n"), r"\\t", "\t")
-        plain = F.regexp_replace(F.regexp_replace(plain, r"\\(.)", "$1"), mark, r"\\\\")
+        plain = F.regexp_replace(F.regexp_replace(plain, r"\\(.)", "$1"), mark, r"\\")
         return F.when(~F.contains(t, F.lit("=")), "true").when(t.rlike('^[^="]+="'), plain).otherwise(F.regexp_extract(t, r"(?s)^[^=]+=(.*)$", 1))
 
     key = lambda t: F.regexp_extract(t, r'^([^\s="]+)', 1)
@@ -188,7 +188,7 @@ def infer(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFram
     """
     v = F.col("value")
     number = v.try_cast("double")
-    whole = number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 2**63) & ~F.isnan(number)
+    whole = number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < F.lit(float(2**63))) & ~F.isnan(number)
     stats = df.select(F.explode(column)).where("value is not null").groupBy("key").agg(F.count("value").alias("n"), F.count_if(whole).alias("i"), F.count_if(number.isNotNull()).alias("d"), F.count_if(F.lower(v).isin("true", "false")).alias("b")).orderBy("key")
     kinds = {r.key: "long" if r.i == r.n else "double" if r.d == r.n else "boolean" if r.b == r.n else "string" for r in stats.collect()}  # one row for each column of the result
 
