@@ -12,12 +12,10 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     A tagged union and one window by key, so both sides are shuffled once and no pair is made.
     Of right rows at one instant the one with the largest values counts.
     """
-    n = len(values)
-    l = left.select(F.struct(*left.columns).alias("row_"), *by, F.col(left_time).alias("at_"), F.lit(1).alias("side_"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("v_"))
-    r = right.select(F.lit(None).cast(l.schema["row_"].dataType).alias("row_"), *by, F.col(right_time).alias("at_"), F.lit(0).alias("side_"), F.struct(*values).alias("v_"))
+    lefts = left.select(F.struct(*left.columns).alias("row_"), *by, F.col(left_time).alias("at_"), F.lit(1).alias("side_"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("v_"))
+    rights = right.select(F.lit(None).cast(lefts.schema["row_"].dataType).alias("row_"), *by, F.col(right_time).alias("at_"), F.lit(0).alias("side_"), F.struct(*values).alias("v_"))
     w = Window.partitionBy(*by).orderBy("at_", "side_", "v_").rowsBetween(Window.unboundedPreceding, 0)
-    out = l.union(r).withColumn("v_", F.last("v_", ignorenulls=True).over(w)).where("side_ = 1")
-    assert n
+    out = lefts.union(rights).withColumn("v_", F.last("v_", ignorenulls=True).over(w)).where("side_ = 1")
     return out.select("row_.*", *[F.col(f"v_.{v}").alias(v) for v in values])
 
 
