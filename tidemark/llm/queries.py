@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, licenses, lines, near, packing, pieces, repeats, sharding, toxicity
+from . import embeddings, fingerprints, licenses, lines, near, oracles, packing, pieces, repeats, sharding, toxicity
 from .common import table
 
 
@@ -57,4 +57,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_packing, op4_embeddings, op5_repeats, op6_toxicity, op7_sharding, op8_lines, op9_near, op10_licenses)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_embeddings": oracles.VECTORS, "op8_lines": oracles.LINES, "op10_licenses": oracles.licenses()}
