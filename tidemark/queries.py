@@ -6,6 +6,7 @@ events are metrics (type = name, user = label), documents and conversations are
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,15 +201,18 @@ def parse_exposition(spark, d):
     return parsers.parse_exposition(lines).withColumnRenamed("__name__", "metric")
 
 
+#: Lines made of the columns in braces.
 _LINES = {
-    "json": ("""'{"level":"info","msg":"' || event_type || '","user":' || user_id || ',"ts":"x"}'""", [F.lit('{"level":"info","msg":"'), "event_type", F.lit('","user":'), "user_id", F.lit(',"ts":"x"}')]),
-    "syslog": ("""'<34>1 2024-01-01T00:00:00Z host' || user_id || ' app 12 ID1 - ' || event_type""", [F.lit("<34>1 2024-01-01T00:00:00Z host"), "user_id", F.lit(" app 12 ID1 - "), "event_type"]),
-    "clf": ("""'10.0.0.' || user_id || ' - bob [01/Jan/2024:00:00:00 +0000] "GET /' || event_type || ' HTTP/1.1" 200 ' || event_id""", [F.lit("10.0.0."), "user_id", F.lit(' - bob [01/Jan/2024:00:00:00 +0000] "GET /'), "event_type", F.lit(' HTTP/1.1" 200 '), "event_id"]),
+    "json": '{{"level":"info","msg":"{event_type}","user":{user_id},"ts":"x"}}',
+    "syslog": "<34>1 2024-01-01T00:00:00Z host{user_id} app 12 ID1 - {event_type}",
+    "clf": '10.0.0.{user_id} - bob [01/Jan/2024:00:00:00 +0000] "GET /{event_type} HTTP/1.1" 200 {event_id}',
 }
 
 
 def _parsed(spark, d, kind):
-    parts = [F.col(c).cast("string") if isinstance(c, str) else c for c in _LINES[kind][1]]
+    parts = []
+    for text, column, _, _ in Formatter().parse(_LINES[kind]):
+        parts += [F.lit(text)] + ([F.col(column).cast("string")] if column else [])
     return table(spark, d, "events").select("event_id", parsers.parse_log(F.concat(*parts)).alias("m"))
 
 
