@@ -1,16 +1,14 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import hashlib
+import os
 import sys
 
-import pytest
-
-sys.path.insert(0, "tests/llm")
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+sys.path.insert(0, os.path.dirname(__file__))
 
+import corpus_pipeline  # noqa: E402
 from test_operators import SMALL, brute_near, brute_repeats, near1, pairs  # noqa: E402
 
-
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
