@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so after collections of garbage on the driver. The session refers to what it ran last,
+    hence the queries; chains of references take up to three rounds.
+    """
+    for _ in range(4):
+        spark.range(0).collect()
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder the cluster names."""
     spark = df.sparkSession

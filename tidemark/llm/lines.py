@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, temp_name
+from .common import durable, release, temp_name
 
 #: Lines under this many code points are removed only as exact copies.
 NEAR_CHARS = 16
@@ -97,7 +97,9 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "do
     get the same result. A frequent line is counted map-side and never gathered in a task.
     """
     firsts = durable(first_places(docs, id_col, text_col).where("n is not null"))
+    release(docs.sparkSession)
     gone = near_copies(docs, firsts, near_chars, id_col, text_col)
+    release(docs.sparkSession)
     stay = firsts.select("p.*").join(gone, _PLACE, "left_anti").groupBy("k", "th").agg(F.collect_list("ln").alias("stay"))
     k, th, lines, keep = (temp_name(docs, x) for x in ("k", "th", "lines", "stay"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
