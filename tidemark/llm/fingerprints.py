@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 #: Neighbouring documents that are dealt out together, and such blocks that form a section.
 BLOCK, SECTION = 64, 4096
@@ -84,6 +84,7 @@ def edit_and_fingerprint(docs: DataFrame, bits: int = 128, id_col: str = "doc_id
     (h1, h2), (e1, e2) = wide_hash(F.col("c"), bits), wide_hash(F.col("e"), bits)
     likeness = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     keys = durable(canon.select("id", "block", "nth", "n_chars", "edited_sha256", h1.alias("h1"), h2.alias("h2"), e1.alias("e1"), e2.alias("e2"), likeness("c", "e").alias("near_edited"), likeness("c", "x").alias("near_next")))
+    release(docs.sparkSession)
     ordinals = _compare_buckets(rows, keys, bits)
     mark = F.lit("")
     out, marks = keys, {0: mark, 1: mark}
