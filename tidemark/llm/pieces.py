@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import heapq
+import math
 import re
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +22,7 @@ from .common import by_bytes, rows_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries that one Python worker keeps; beyond, it starts anew.
-CACHE = 400_000
+CACHE = 900_000
 _models: dict[str, PieceModel] = {}
 
 
@@ -48,7 +50,7 @@ class PieceModel:
         scores = [s for _, s in self.pieces.values() if s > -1e8]
         self.byte_score = min(scores) - penalty
         self.unknown = next((i for i in range(n) if m.is_unknown(i)), 0)
-        self.width = "<u2" if n <= 1 << 16 else "<u4"
+        self.width, self.code = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
         inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         # No piece goes from a letter to one of these marks or back, nor into a space mark, so the
         # lattice falls apart there and the parts can be searched for themselves.
@@ -60,7 +62,7 @@ class PieceModel:
         self.split = re.compile(f"(?:{SPACE}+.?|.)(?:(?!{stop}).)*", re.S)
         #: Results by chunk, and by word after a space (chunks put together).
         self.chunk_cache: dict[tuple[str, int], tuple] = {}
-        self.word_cache: dict[int, dict[str, tuple]] = {}
+        self.word_cache: dict[int, tuple[dict[str, tuple], dict[str, tuple]]] = {}
 
     def normal(self, text: str) -> str:
         """The text as the lattice sees it: a space mark before it and for each space. Empty stays empty."""
@@ -71,21 +73,22 @@ class PieceModel:
 
     def lattice(self, chunk: str) -> tuple[list[list[tuple]], list[float]]:
         """Edges (start, ids, score) by their end, and the best score from the start to each position."""
-        n, begins = len(chunk), self.begins
+        n, get = len(chunk), self.begins.get
         edges: list[list[tuple]] = [[] for _ in range(n + 1)]
-        best = [0.0] + [float("-inf")] * n
+        best = [0.0] + [-1e300] * n
         for i in range(n):
             at = best[i]
             for j in range(i + 1, n + 1):
-                try:
-                    p = begins[chunk[i:j]]
-                except KeyError:
+                p = get(chunk[i:j], 0)
+                if p is None:
+                    continue
+                if not p:
                     break
-                if p is not None:
-                    edges[j].append((i, p[0], p[1]))
-                    if at + p[1] > best[j]:
-                        best[j] = at + p[1]
-            if chunk[i] not in self.pieces:
+                s = p[1]
+                edges[j].append((i, p[0], s))
+                if at + s > best[j]:
+                    best[j] = at + s
+            if not edges[i + 1] or edges[i + 1][-1][0] != i:  # no piece is this character
                 raw = chunk[i].encode("utf-8", "surrogatepass")
                 s = self.byte_score * len(raw)
                 edges[i + 1].append((i, tuple([self.bytes.get(b, self.unknown) for b in raw]), s))
@@ -102,41 +105,57 @@ class PieceModel:
         """
         edges, best = self.lattice(chunk)
         queue = [(-best[-1], 0, len(chunk), 0.0, None)]  # sorted
-        out, made = [], 0
-        while queue and len(out) < n:
+        out, made, want = [], 0, n
+        while queue:
             _, _, at, score, path = queue.pop(0)
             if not at:
                 ids: list[int] = []
                 while path is not None:
-                    ids += path[0] if isinstance(path[0], tuple) else (path[0],)
-                    path = path[1]
+                    piece, path = path
+                    if isinstance(piece, tuple):
+                        ids += piece
+                    else:
+                        ids.append(piece)
                 out.append((score, tuple(ids)))
+                want -= 1
+                if not want:
+                    break
                 continue
-            want = n - len(out)
+            size = len(queue)
+            worst = queue[-1][0] if size >= want else 1e308
             for start, piece, s in edges[at]:
                 rest = score + s
-                key = -(rest + best[start])
-                if len(queue) < want or key < queue[-1][0]:
+                key = -rest - best[start]
+                if key < worst:
                     made += 1
                     insort(queue, (key, made, start, rest, (piece, path)))
-                    if len(queue) > want:
+                    if size >= want:
                         queue.pop()
+                    else:
+                        size += 1
+                    if size >= want:
+                        worst = queue[-1][0]
         return out
 
     def known(self, chunk: str, n: int) -> tuple:
         """(score, ids as bytes, smallest loss of another segmentation, all losses) from the cache."""
         got = self.chunk_cache.get((chunk, n))
         if got is None:
-            if len(self.chunk_cache) >= CACHE:
+            if len(self.chunk_cache) >= CACHE // 4:
                 self.chunk_cache.clear()
-            found = self.nbest(chunk, n)
-            s = found[0][0]
-            lost = tuple([s - x for x, _ in found[1:]])
-            got = self.chunk_cache[chunk, n] = (s, np.array(found[0][1], dtype=self.width).tobytes(), lost[0] if lost else float("inf"), lost)
+            got = self.chunk_cache[chunk, n] = self._entry(chunk, n)
         return got
 
+    def _entry(self, chunk: str, n: int) -> tuple:
+        found = self.nbest(chunk, n)
+        s, ids = found[0]
+        lost = tuple([s - x for x, _ in found[1:]])
+        return s, array(self.code, ids).tobytes(), lost[0] if lost else math.inf, lost
+
     def _word(self, word: str, n: int) -> tuple:
         """(score, ids as bytes, smallest loss, losses) of a space mark and this word."""
+        if word.isalpha():  # one chunk
+            return self._entry(SPACE + word, n)
         parts = [self.known(c, n) for c in self.chunks(SPACE + word)]
         if len(parts) == 1:
             return parts[0]
@@ -153,12 +172,13 @@ class PieceModel:
         if not self.apart or "" in words or SPACE in text:
             parts = [self.known(c, n) for c in self.chunks(self.normal(text))]
         else:
-            cache = self.word_cache.setdefault(n, {})
-            if len(cache) >= CACHE:
-                cache.clear()
-            for w in {*words}.difference(cache):
-                cache[w] = self._word(w, n)
-            parts = [cache[w] for w in words]
+            # Two generations: words that are met again outlive a full cache.
+            young, old = self.word_cache.setdefault(n, ({}, {}))
+            for w in {*words}.difference(young):
+                young[w] = old.get(w) or self._word(w, n)
+            parts = [young[w] for w in words]
+            if len(young) >= CACHE // 2:
+                self.word_cache[n] = {}, young
         total = sum([p[0] for p in parts])
         # The n best of the text change at most n - 1 parts, those with the smallest losses.
         lost = [0.0]
@@ -223,8 +243,7 @@ def encode(docs: DataFrame, n: int = 3, path: str = MODEL, with_ids: bool = True
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.freeze()  # the caches hold no cycles; scanning them again and again is slow
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for ids, texts in rows_of(batches, "id", "text"):
             for a, b in by_bytes(texts):
@@ -240,6 +259,13 @@ def encode(docs: DataFrame, n: int = 3, path: str = MODEL, with_ids: bool = True
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the caches are slow to scan
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
     schema = "id long, n_tokens long, ids_crc32 long, scores array<double>, round_trip boolean" + ", ids array<int>" * with_ids
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
