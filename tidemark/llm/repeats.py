@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, powers, rows_of, temp_name
+from .common import durable, mix, powers, release, rows_of, temp_name
 from .suffixes import equal_suffixes
 
 #: Bytes of the samples that anchor a string, of text that is searched at once, and of contexts that are sorted at once.
@@ -187,6 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     place = F.xxhash64("k", "th", "p", "s")
     seen = found.select("g", place.alias("o")).groupBy("g").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("g")
     found = durable(found.join(seen, "g", "left_semi"))
+    release(docs.sparkSession)
     by_context = durable(found.groupBy("g", "c1", "c2").agg((F.min(place) != F.max(place)).alias("twice"), F.first(F.struct("k", "th", "s", "e", "p")).alias("loc")))
     # A context that stands twice is all repeated; one that stands once is compared with the others of its sample.
     mixed = by_context.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bool_and("twice").alias("all")).where("n > 1 and not all").select("g", (F.col("n") > MANY).alias("many"))
@@ -195,7 +196,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     partial = pieces.repartition("g").sortWithinPartitions("g", "c1", "c2", "shift").mapInArrow(_sort(length), "c1 long, c2 long, x long, y long")
     whole = found.join(by_context.where("twice").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("k", "th", F.col("s").alias("from"), F.col("e").alias("to"))
     part = found.join(partial, ["c1", "c2"]).select("k", "th", (F.col("s") + F.col("x")).alias("from"), (F.col("s") + F.col("y")).alias("to"))
-    return durable(whole.unionByName(part).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    spans = durable(whole.unionByName(part).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    release(docs.sparkSession)
+    return spans
 
 
 def removed(spans: list, length: int, n: int) -> list[tuple[int, int]]:
