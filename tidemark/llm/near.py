@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, durable, mix, rows_of, shingles
+from .common import Words, by_bytes, durable, mix, release, rows_of, shingles
 from .components import components, runs
 
 #: Words of a k-mer, ordered samples (tables), k-mers in a sample, bins of the sketch, sketch bits a bin.
 K, SAMPLES, LENGTH, BINS = 5, 16, 3, 128
-#: Texts of a bucket that are compared by sketch in one unit; candidates that one text proposes in a unit.
-UNIT, PARTNERS = 1500, 3
+#: Texts of a bucket that are compared by sketch in one unit.
+UNIT = 1500
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -118,8 +118,8 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([half(d & ((1 << 64) - 1)) for d in digests], pa.int64()), pa.array([half(d >> 64) for d in digests], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["k", "d1", "d2", "n", "keys", "sketch"])
 
 
-def _propose(threshold: float, partners: int):
-    """Candidates in each unit: for each text the `partners` nearest ones by sketch among those before it that are in another class."""
+def _propose(threshold: float, skip: int, take: int):
+    """Candidates in each unit: for each text, of those before it that are in another class, the nearest by sketch, `take` after the first `skip`."""
     least = max(0.0, threshold - 0.12)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +140,8 @@ def _propose(threshold: float, partners: int):
                 both = full[i] & full[lo:i]
                 same = ((s[lo:i] == s[i]) & both).sum(axis=1) / np.maximum(1, (full[i] | full[lo:i]).sum(axis=1))
                 fit = np.flatnonzero((c[lo:i] != c[i]) & ((same >= least) | (n[i] < 2 * BINS)))
-                if len(fit) > partners:
-                    fit = fit[np.argsort(-same[fit], kind="stable")[:partners]]
+                if skip or len(fit) > take:
+                    fit = fit[np.argsort(-same[fit], kind="stable")[skip : skip + take]]
                 for j in fit + lo:
                     p, q = (k[i], d[i]), (k[j], d[j])
                     out.append((*p, *q) if p < q else (*q, *p))
@@ -173,7 +173,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, partners: int = PARTNERS, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Gives each row the class of its text: texts linked directly or over others.
 
     Two texts are linked if their words (ASCII letters, digits, all non-ASCII code points; A-Z
@@ -183,10 +183,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, partners: int = PARTNE
     occurrence-labelled k-mers and keeps their text order; texts with an equal sample are candidates.
     A pair at similarity 0.8 shares a given sample with chance about 0.5, so all 16 fail for about 1 pair
     in 60,000. A bucket is dealt into units of about `unit` texts; its first text is in each.
-    In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partners
-    of another class; their alignment is verified on whole texts. Rounds go on, with what was
-    tried left out, until a round finds no new link, so that classes that a first choice
-    of partners missed still meet. Neither pairs nor classes are collected.
+    In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
+    of another class; their alignment is verified on whole texts. Each further round proposes twice as
+    many that come next, with what was tried left out, until a round finds no new link. As classes grow,
+    ever fewer partners are left in others. Neither pairs nor classes are collected.
 
     Returns id, class_id (smallest id of the class), kept (id = class_id). Texts without words
     (null, empty, marks only) link with nothing. Rows with one id are one node: they share a class, and one is kept only
@@ -204,28 +204,29 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, partners: int = PARTNE
     banded = durable(banded.select("t", "key", "k", "d1", "n", "sketch", F.explode(F.when(F.struct("n", "k") == F.col("top"), F.sequence(F.lit(0), units - 1)).otherwise(own)).alias("unit")))
 
     # Rows with one id are one node, whatever their texts; their first texts stand for the classes of copies.
-    links = durable(sig.where("n > 0").join(reps.select("d1", "d2", F.col("k").alias("rep")), ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct())
-    copies = links
-    tried = texts = None
-    near = None
-    classes = None
+    copies = durable(sig.where("n > 0").join(reps.select("d1", "d2", F.col("k").alias("rep")), ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct())
+    tried = texts = near = classes = None
+    skip, take = 0, 1
     while True:
         rows = banded.withColumn("class", F.col("k")) if classes is None else banded.join(classes.select(F.col("id").alias("k"), "component"), "k", "left").withColumn("class", F.coalesce("component", "k")).drop("component")
         rows = rows.select("t", "key", "unit", "n", "k", "d1", "class", "sketch").repartition("t", "key", "unit").sortWithinPartitions("t", "key", "unit", "n", "k", "d1")
-        found = rows.mapInArrow(_propose(threshold, partners), "a long, da long, b long, db long").distinct()
+        found = rows.mapInArrow(_propose(threshold, skip, take), "a long, da long, b long, db long").distinct()
         if tried is not None:
             found = found.join(tried, ["a", "da", "b", "db"], "left_anti")
         found = durable(found)
+        release(docs.sparkSession)
         if found.isEmpty():
             break
+        skip, take = skip + take, 2 * take
         if texts is None:
-            nodes = found.select(F.col("a").alias("k"), F.col("da").alias("d1")).union(found.select("b", "db")).distinct()
-            # The rows that stand for a class of copies: the id and digest choose them; equal ones are one.
+            # Any text that shares a bucket may be proposed in some round; its id and digest choose its row, equal rows are one.
+            nodes = banded.select("k", "d1").distinct()
             chosen = sig.select("k", "d1", "n").join(nodes, ["k", "d1"], "left_semi").select("k").distinct()
             texts = durable(src.join(chosen, "k", "left_semi").mapInArrow(_digested, "k long, d1 long, text string").join(nodes, ["k", "d1"], "left_semi").dropDuplicates(["k", "d1"]))
+            release(docs.sparkSession)
         pairs = found.join(texts.select(F.col("k").alias("a"), F.col("d1").alias("da"), F.col("text").alias("ta")), ["a", "da"]).join(texts.select(F.col("k").alias("b"), F.col("d1").alias("db"), F.col("text").alias("tb")), ["b", "db"])
         new = durable(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
-        if new.isEmpty():
+        if new.isEmpty() and skip > 1:
             break
         near = new if near is None else durable(near.union(new))
         tried = found if tried is None else tried.union(found)
