@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, fingerprints, licenses, lines, near, packing, pieces, queries, repeats, sharding, suffixes, toxicity
-from tidemark.llm.common import Words
+from tidemark.llm.common import Words, shingles
 
 SMALL = "/root/testdata/sf0.001"
 PHRASE = "the quick brown fox jumps over a lazy dog and then goes home to sleep under the old oak tree by the quiet river bank where nobody ever walks at night because of the owls"
@@ -421,6 +421,36 @@ def test_near_odd(odd, spark):
     assert {r.class_id for r in got} == {0, *range(500, 530)}
 
 
+def brute_all(rows, t):
+    """Classes by all pairs, none left out."""
+    sh = {i: shingles(Words([x]).hashes, 5) for i, x in rows}
+    comp = {i: i for i in sh}
+    for i, j in itertools.combinations(sorted(sh), 2):
+        if len(sh[i]) and len(sh[j]) and near.similarity(sh[i], sh[j], t) >= t:
+            a, b = sorted((comp[i], comp[j]))
+            comp = {k: a if c == b else c for k, c in comp.items()}
+    return comp
+
+
+def classes_of(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in near.near_classes(df, **kw).collect()}
+
+
+def changed(words, at, mark):
+    return " ".join(f"{mark}{i}" if i in at else w for i, w in enumerate(words))
+
+
+def test_near_chain(spark):
+    # The last of three is 0.95 from the first, which fails with the second; it must still try the second.
+    texts = []
+    for c in range(30):
+        base = [f"c{c}w{i}" for i in range(1004)]
+        texts += [changed(base, range(20, 1000, 200), f"c{c}a"), changed(base, range(10, 1000, 50), f"c{c}b"), " ".join(base)]
+    got = classes_of(spark, texts)
+    assert got == brute_all(enumerate(texts), 0.8) == {i: i // 3 * 3 for i in range(90)}
+
+
 def test_similarity():
     rng = np.random.default_rng(2)
     for _ in range(60):

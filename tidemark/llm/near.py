@@ -118,8 +118,8 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([half(d & ((1 << 64) - 1)) for d in digests], pa.int64()), pa.array([half(d >> 64) for d in digests], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["k", "d1", "d2", "n", "keys", "sketch"])
 
 
-def _propose(threshold: float, skip: int, take: int):
-    """Candidates in each unit: for each text, of those before it that are in another class, the nearest by sketch, `take` after the first `skip`."""
+def _propose(threshold: float, take: int):
+    """Candidates in each unit: for each text, of those before it that are in another class and not yet tried with it, the `take` nearest by sketch."""
     least = max(0.0, threshold - 0.12)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +133,8 @@ def _propose(threshold: float, skip: int, take: int):
                 continue
             s = np.frombuffer(b"".join(r.column("sketch").to_pylist()), dtype=np.uint8).reshape(g, BINS)
             full = s != 0
+            node, done = r.column("node").to_numpy(), r.column("done").combine_chunks()
+            cuts, done = done.offsets.to_numpy(), done.values.to_numpy()
             for i in range(1, g):
                 lo = np.searchsorted(n, threshold * n[i] - 1e-9)  # rows come by n: fewer k-mers than that can't meet the threshold
                 if lo >= i:
@@ -140,11 +142,11 @@ def _propose(threshold: float, skip: int, take: int):
                 both = full[i] & full[lo:i]
                 same = ((s[lo:i] == s[i]) & both).sum(axis=1) / np.maximum(1, (full[i] | full[lo:i]).sum(axis=1))
                 fit = np.flatnonzero((c[lo:i] != c[i]) & ((same >= least) | (n[i] < 2 * BINS)))
-                if skip or len(fit) > take:
-                    fit = fit[np.argsort(-same[fit], kind="stable")[skip : skip + take]]
-                for j in fit + lo:
-                    p, q = (k[i], d[i]), (k[j], d[j])
-                    out.append((*p, *q) if p < q else (*q, *p))
+                if cuts[i] < cuts[i + 1]:
+                    fit = fit[~np.isin(node[lo + fit], done[cuts[i] : cuts[i + 1]])]
+                if len(fit) > take:
+                    fit = fit[np.argsort(-same[fit], kind="stable")[:take]]
+                out += [(k[i], d[i], k[j], d[j]) for j in fit + lo]  # the later one first, which is so in every unit
             if len(out) > 20_000:
                 yield _edges(out)
                 out = []
@@ -185,7 +187,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     in 60,000. A bucket is dealt into units of about `unit` texts; its first text is in each.
     In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
     of another class; their alignment is verified on whole texts. Each further round proposes twice as
-    many that come next, with what was tried left out, until a round finds no new link. As classes grow,
+    many of those that it hasn't been tried with, until a round finds no new link. As classes grow,
     ever fewer partners are left in others. Neither pairs nor classes are collected.
 
     Returns id, class_id (smallest id of the class), kept (id = class_id). Texts without words
@@ -206,18 +208,21 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     # Rows with one id are one node, whatever their texts; their first texts stand for the classes of copies.
     copies = durable(sig.where("n > 0").join(reps.select("d1", "d2", F.col("k").alias("rep")), ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct())
     tried = texts = near = classes = None
-    skip, take = 0, 1
+    take = 1
     while True:
         rows = banded.withColumn("class", F.col("k")) if classes is None else banded.join(classes.select(F.col("id").alias("k"), "component"), "k", "left").withColumn("class", F.coalesce("component", "k")).drop("component")
-        rows = rows.select("t", "key", "unit", "n", "k", "d1", "class", "sketch").repartition("t", "key", "unit").sortWithinPartitions("t", "key", "unit", "n", "k", "d1")
-        found = rows.mapInArrow(_propose(threshold, skip, take), "a long, da long, b long, db long").distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "da", "b", "db"], "left_anti")
+        rows = rows.withColumn("node", F.xxhash64("k", "d1"))
+        if tried is None:
+            rows = rows.withColumn("done", F.array().cast("array<long>"))
+        else:
+            done = tried.groupBy(F.xxhash64("a", "da").alias("node")).agg(F.collect_list(F.xxhash64("b", "db")).alias("done"))
+            rows = rows.join(done, "node", "left").withColumn("done", F.coalesce("done", F.array().cast("array<long>")))
+        rows = rows.select("t", "key", "unit", "n", "k", "d1", "class", "sketch", "node", "done").repartition("t", "key", "unit").sortWithinPartitions("t", "key", "unit", "n", "k", "d1")
+        found = rows.mapInArrow(_propose(threshold, take), "a long, da long, b long, db long").distinct()
         found = durable(found)
         release(docs.sparkSession)
         if found.isEmpty():
             break
-        skip, take = skip + take, 2 * take
         if texts is None:
             # Any text that shares a bucket may be proposed in some round; its id and digest choose its row, equal rows are one.
             nodes = banded.select("k", "d1").distinct()
@@ -226,8 +231,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
             release(docs.sparkSession)
         pairs = found.join(texts.select(F.col("k").alias("a"), F.col("d1").alias("da"), F.col("text").alias("ta")), ["a", "da"]).join(texts.select(F.col("k").alias("b"), F.col("d1").alias("db"), F.col("text").alias("tb")), ["b", "db"])
         new = durable(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
-        if new.isEmpty() and skip > 1:
+        if new.isEmpty() and take > 1:
             break
+        take *= 2
         near = new if near is None else durable(near.union(new))
         tried = found if tried is None else tried.union(found)
         classes = components(near)
