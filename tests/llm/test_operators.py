@@ -451,6 +451,20 @@ def test_near_chain(spark):
     assert got == brute_all(enumerate(texts), 0.8) == {i: i // 3 * 3 for i in range(90)}
 
 
+def test_near_hot_bucket(spark):
+    # The last two of each group share samples with the whole group only, the shortest of which links with none.
+    rng = np.random.default_rng(4)
+    texts, want = [], {}
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(400)]
+        n = len(texts)
+        texts += [changed(base, set(rng.choice(80, 15, replace=False) * 5), f"n{g}x{c}x") for c in range(30)]
+        texts += [changed(base, range(a, 400, 100), f"p{g}x{a}x") for a in (7, 57)]
+        want |= {n + i: n + min(i, 30) for i in range(32)}
+    got = classes_of(spark, texts, unit=5)
+    assert got == brute_all(enumerate(texts), 0.8) == want
+
+
 def test_similarity():
     rng = np.random.default_rng(2)
     for _ in range(60):

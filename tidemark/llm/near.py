@@ -16,7 +16,7 @@ from .components import components, runs
 
 #: Words of a k-mer, ordered samples (tables), k-mers in a sample, bins of the sketch, sketch bits a bin.
 K, SAMPLES, LENGTH, BINS = 5, 16, 3, 128
-#: Texts of a bucket that are compared by sketch in one unit.
+#: Texts in a block of a hot bucket; a unit compares those of a block, or of one block with those of another.
 UNIT = 1500
 
 
@@ -124,7 +124,7 @@ def _propose(threshold: float, take: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for r in runs(batches, "t", "key", "unit"):
+        for r in runs(batches, "t", "key", "lo", "hi"):
             g = r.num_rows
             if g < 2:
                 continue
@@ -135,6 +135,8 @@ def _propose(threshold: float, take: int):
             full = s != 0
             node, done = r.column("node").to_numpy(), r.column("done").combine_chunks()
             cuts, done = done.offsets.to_numpy(), done.values.to_numpy()
+            block = r.column("block").to_numpy()
+            across = r.column("lo")[0] != r.column("hi")[0]
             for i in range(1, g):
                 lo = np.searchsorted(n, threshold * n[i] - 1e-9)  # rows come by n: fewer k-mers than that can't meet the threshold
                 if lo >= i:
@@ -142,6 +144,8 @@ def _propose(threshold: float, take: int):
                 both = full[i] & full[lo:i]
                 same = ((s[lo:i] == s[i]) & both).sum(axis=1) / np.maximum(1, (full[i] | full[lo:i]).sum(axis=1))
                 fit = np.flatnonzero((c[lo:i] != c[i]) & ((same >= least) | (n[i] < 2 * BINS)))
+                if across:
+                    fit = fit[block[lo + fit] != block[i]]
                 if cuts[i] < cuts[i + 1]:
                     fit = fit[~np.isin(node[lo + fit], done[cuts[i] : cuts[i + 1]])]
                 if len(fit) > take:
@@ -184,8 +188,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     goes on. Order MinHash: each of 16 samples takes the three smallest of a text's
     occurrence-labelled k-mers and keeps their text order; texts with an equal sample are candidates.
     A pair at similarity 0.8 shares a given sample with chance about 0.5, so all 16 fail for about 1 pair
-    in 60,000. A bucket is dealt into units of about `unit` texts; its first text is in each.
-    In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
+    in 60,000. A bucket of more than `unit` texts is cut into blocks, and each block and pair of blocks is a unit
+    of work, so all its pairs are compared and no task holds a whole hot bucket. In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
     of another class; their alignment is verified on whole texts. Each further round proposes twice as
     many of those that it hasn't been tried with, until a round finds no new link. As classes grow,
     ever fewer partners are left in others. Neither pairs nor classes are collected.
@@ -199,11 +203,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     sig = durable(src.mapInArrow(_signatures, "k long, d1 long, d2 long, n long, keys array<long>, sketch binary"))
     reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     banded = reps.select("k", "d1", "n", "sketch", F.posexplode("keys").alias("t", "key"))
-    multi = reps.select(F.posexplode("keys").alias("t", "key"), F.struct("n", "k").alias("o")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("m"), F.min("o").alias("top")).where("m > 1")
-    banded = banded.join(multi, ["t", "key"])
-    units = F.ceil(F.col("m") / unit).cast("int")
-    own = F.array(F.pmod(F.xxhash64("k", "d1"), units.cast("long")).cast("int"))
-    banded = durable(banded.select("t", "key", "k", "d1", "n", "sketch", F.explode(F.when(F.struct("n", "k") == F.col("top"), F.sequence(F.lit(0), units - 1)).otherwise(own)).alias("unit")))
+    multi = banded.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / unit).cast("int")
+    banded = durable(banded.join(multi, ["t", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k", "d1"), F.col("blocks").cast("long")).cast("int")).drop("m"))
 
     # Rows with one id are one node, whatever their texts; their first texts stand for the classes of copies.
     copies = durable(sig.where("n > 0").join(reps.select("d1", "d2", F.col("k").alias("rep")), ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct())
@@ -217,7 +219,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
         else:
             done = tried.groupBy(F.xxhash64("a", "da").alias("node")).agg(F.collect_list(F.xxhash64("b", "db")).alias("done"))
             rows = rows.join(done, "node", "left").withColumn("done", F.coalesce("done", F.array().cast("array<long>")))
-        rows = rows.select("t", "key", "unit", "n", "k", "d1", "class", "sketch", "node", "done").repartition("t", "key", "unit").sortWithinPartitions("t", "key", "unit", "n", "k", "d1")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        rows = rows.select("t", "key", "lo", "hi", "block", "n", "k", "d1", "class", "sketch", "node", "done").repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "n", "k", "d1")
         found = rows.mapInArrow(_propose(threshold, take), "a long, da long, b long, db long").distinct()
         found = durable(found)
         release(docs.sparkSession)
