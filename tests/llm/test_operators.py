@@ -465,6 +465,15 @@ def test_near_hot_bucket(spark):
     assert got == brute_all(enumerate(texts), 0.8) == want
 
 
+def test_near_late_partner(spark):
+    # Six texts with two passages swapped are nearer to the last one by sketch and fail; its true partner comes after them.
+    base = [f"w{i}" for i in range(250)]
+    swap = lambda a: base[:a] + base[a + 20 : a + 40] + base[a : a + 20] + base[a + 40 :]
+    texts = [" ".join(swap(5 + 40 * c)) for c in range(6)] + [changed(base, range(20, 250, 48), "b"), " ".join(base)]
+    got = classes_of(spark, texts)
+    assert got == brute_all(enumerate(texts), 0.8) == {i: min(i, 6) for i in range(8)}
+
+
 def test_similarity():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -190,9 +190,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     A pair at similarity 0.8 shares a given sample with chance about 0.5, so all 16 fail for about 1 pair
     in 60,000. A bucket of more than `unit` texts is cut into blocks, and each block and pair of blocks is a unit
     of work, so all its pairs are compared and no task holds a whole hot bucket. In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
-    of another class; their alignment is verified on whole texts. Each further round proposes twice as
-    many of those that it hasn't been tried with, until a round finds no new link. As classes grow,
-    ever fewer partners are left in others. Neither pairs nor classes are collected.
+    of another class; their alignment is verified on whole texts. The first rounds take one and four of the
+    samples, so that large classes form early; from then on each takes all, and proposes twice as many partners as the one before, of those
+    in other classes that a text hasn't been tried with. Rounds end when none is left: each pair of a bucket that passes the sketch is then
+    verified or in one class. Neither pairs nor classes are collected.
 
     Returns id, class_id (smallest id of the class), kept (id = class_id). Texts without words
     (null, empty, marks only) link with nothing. Rows with one id are one node: they share a class, and one is kept only
@@ -209,10 +210,16 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
 
     # Rows with one id are one node, whatever their texts; their first texts stand for the classes of copies.
     copies = durable(sig.where("n > 0").join(reps.select("d1", "d2", F.col("k").alias("rep")), ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct())
-    tried = texts = near = classes = None
-    take = 1
+    tried = texts = classes = None
+    tables, take = 1, 1
     while True:
-        rows = banded.withColumn("class", F.col("k")) if classes is None else banded.join(classes.select(F.col("id").alias("k"), "component"), "k", "left").withColumn("class", F.coalesce("component", "k")).drop("component")
+        rows = banded.where(F.col("t") < tables)
+        if classes is None:
+            rows = rows.withColumn("class", F.col("k"))
+        else:
+            rows = rows.join(classes.select(F.col("id").alias("k"), "component"), "k", "left").withColumn("class", F.coalesce("component", "k")).drop("component")
+            mixed = rows.groupBy("t", "key").agg(F.min("class").alias("c"), F.max("class").alias("other")).where("c <> other").select("t", "key")
+            rows = rows.join(mixed, ["t", "key"], "left_semi")  # before a hot bucket is dealt to pairs of blocks
         rows = rows.withColumn("node", F.xxhash64("k", "d1"))
         if tried is None:
             rows = rows.withColumn("done", F.array().cast("array<long>"))
@@ -225,7 +232,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
         found = durable(found)
         release(docs.sparkSession)
         if found.isEmpty():
-            break
+            if tables == SAMPLES:
+                break
+            tables *= 4
+            continue
         if texts is None:
             # Any text that shares a bucket may be proposed in some round; its id and digest choose its row, equal rows are one.
             nodes = banded.select("k", "d1").distinct()
@@ -234,19 +244,25 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
             release(docs.sparkSession)
         pairs = found.join(texts.select(F.col("k").alias("a"), F.col("d1").alias("da"), F.col("text").alias("ta")), ["a", "da"]).join(texts.select(F.col("k").alias("b"), F.col("d1").alias("db"), F.col("text").alias("tb")), ["b", "db"])
         new = durable(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
-        if new.isEmpty() and take > 1:
-            break
-        take *= 2
-        near = new if near is None else durable(near.union(new))
         tried = found if tried is None else tried.union(found)
-        classes = components(near)
+        if not new.isEmpty():
+            classes = components(new if classes is None else new.union(_stars(classes)))
+        if tables < SAMPLES:
+            tables *= 4
+        else:
+            take *= 2
     # Copies hang on the one that stands for them, so only these take part in the rounds.
-    final = components(copies.union(near)) if near is not None else components(copies)
+    final = components(copies if classes is None else copies.union(_stars(classes)))
     out = docs.select(F.col(f"`{id_col}`").alias("id")).withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(null_id))).join(final.withColumnRenamed("id", "k"), "k", "left")
     c = F.coalesce("component", "k")
     return out.select(F.col("id").alias(id_col), F.when(c != null_id, c).alias("class_id"), (c == F.col("k")).alias("kept"))
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node to the smallest of its class."""
+    return classes.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in rows_of(batches, "k", "text"):
         for a, b in by_bytes(texts):
