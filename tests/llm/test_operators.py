@@ -10,6 +10,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,6 +475,14 @@ def test_near_late_partner(spark):
     assert got == brute_all(enumerate(texts), 0.8) == {i: min(i, 6) for i in range(8)}
 
 
+def test_near_sketch_bar():
+    # 80 of 128 bins alike, as a pair at 0.8 may have by chance.
+    one, other = bytes([1] * 128), bytes([1] * 80 + [2] * 48)
+    cols = {c: [0, 0] for c in ("t", "key", "lo", "hi", "block")} | {"n": [400, 400], "k": [1, 2], "d1": [3, 4], "class": [1, 2], "sketch": [one, other], "node": [5, 6], "done": pa.array([[], []], pa.list_(pa.int64()))}
+    out = near._propose(0.8, 1)(iter([pa.RecordBatch.from_pydict(cols)]))
+    assert [r for b in out for r in b.to_pylist()] == [{"a": 2, "da": 4, "b": 1, "db": 3}]
+
+
 def test_similarity():
     rng = np.random.default_rng(2)
     for _ in range(60):

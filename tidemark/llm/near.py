@@ -120,7 +120,7 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _propose(threshold: float, take: int):
     """Candidates in each unit: for each text, of those before it that are in another class and not yet tried with it, the `take` nearest by sketch."""
-    least = max(0.0, threshold - 0.12)
+    least = max(0.0, threshold - 0.2)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -188,7 +188,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     goes on. Order MinHash: each of 16 samples takes the three smallest of a text's
     occurrence-labelled k-mers and keeps their text order; texts with an equal sample are candidates.
     A pair at similarity 0.8 shares a given sample with chance about 0.5, so all 16 fail for about 1 pair
-    in 60,000. A bucket of more than `unit` texts is cut into blocks, and each block and pair of blocks is a unit
+    in 60,000; the sketch rejects one of 256 and more five-word runs with chance about 8e-8. A bucket of more than `unit` texts is cut into blocks, and each block and pair of blocks is a unit
     of work, so all its pairs are compared and no task holds a whole hot bucket. In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
     of another class; their alignment is verified on whole texts. The first rounds take one and four of the
     samples, so that large classes form early; from then on each takes all, and proposes twice as many partners as the one before, of those
