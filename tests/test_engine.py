@@ -138,6 +138,20 @@ def test_sql_refused(spark, sql):
         sqlapi.run_sql(spark, sql, {"v": spark.createDataFrame([(1,)], "k int")})
 
 
+def test_sql_without_cap(spark, tmp_path, monkeypatch):
+    from tidemark import queries
+
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "Limit" not in plan(sqlapi.run_sql(spark, "SELECT id FROM v", {"v": spark.range(3)}, row_cap=None))
+    spark.range(3).write.parquet(f"{tmp_path}/nation.parquet")
+    assert "Limit" not in plan(queries._sql_query("SELECT id FROM nation")(spark, str(tmp_path)))
+    seen = []
+    run = sqlapi.run_sql
+    monkeypatch.setattr(sqlapi, "run_sql", lambda *a, **k: seen.append(plan(run(*a, **k))) or run(*a, **k))
+    assert lifecycle.materialize(spark, "m", "SELECT id FROM merge_input", spark.range(3), spark.range(3), str(tmp_path))
+    assert len(seen) == 1 and "Limit" not in seen[0]
+
+
 def test_sql_cap(spark):
     rows, truncated = sqlapi.page(sqlapi.run_sql(spark, "SELECT id FROM v", {"v": spark.range(50)}, row_cap=10), 10)
     assert len(rows) == 10 and truncated

@@ -143,8 +143,8 @@ def check_read_only(spark: SparkSession, sql: str, views: set[str]) -> None:
         raise SQLError("functions that reach outside the views are refused")
 
 
-def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], row_cap: int = ROW_CAP) -> DataFrame:
-    """A query over views, at most row_cap + 1 rows: one more than the cap tells that it was truncated.
+def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], row_cap: int | None = ROW_CAP) -> DataFrame:
+    """A query over views, at most row_cap + 1 rows: one more than the cap tells that it was truncated. None: all rows.
 
     The views live in a session of their own for parsing options; data frames keep their lineage.
     """
@@ -156,7 +156,8 @@ def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], row_cap:
         check_read_only(spark, text, set(views))
         for name, df in views.items():
             df.createOrReplaceTempView(name)
-        return spark.sql(text).limit(row_cap + 1)
+        out = spark.sql(text)
+        return out if row_cap is None else out.limit(row_cap + 1)
     finally:
         spark.conf.set(key, before)
         for name in views:

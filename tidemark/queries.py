@@ -553,7 +553,6 @@ def sliding_events(spark, d):
 # --- SQL pass-through: the same text for both engines, but for the dialect shim ---------------
 
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "pages"]
-_CAP = 100_000_000
 SQL = {
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "sql_join_inner": "SELECT n_name, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
@@ -594,7 +593,7 @@ SQL = {
 
 def _sql_query(text: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return sqlapi.run_sql(spark, text, {t: table(spark, d, t) for t in _TABLES if t in text}, row_cap=_CAP)
+        return sqlapi.run_sql(spark, text, {t: table(spark, d, t) for t in _TABLES if t in text}, row_cap=None)
 
     return run
 
