@@ -442,6 +442,13 @@ def changed(words, at, mark):
     return " ".join(f"{mark}{i}" if i in at else w for i, w in enumerate(words))
 
 
+@both()
+def test_near_all_pairs(name, request):
+    docs = request.getfixturevalue(name).where("doc_id is not null")
+    got = {r.doc_id: r.class_id for r in near.near_classes(docs).collect()}
+    assert got == brute_all(pairs(docs), 0.8)
+
+
 def test_near_chain(spark):
     # The last of three is 0.95 from the first, which fails with the second; it must still try the second.
     texts = []
