@@ -418,7 +418,7 @@ def test_near_odd(odd, spark):
     assert near.near_classes(empty(odd)).count() == 0
     base = [f"w{i}" for i in range(200)]
     group = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(150)] + [(500 + i, " ".join(f"v{i}_{j}" for j in range(30))) for i in range(30)]
-    got = near.near_classes(spark.createDataFrame(group, "doc_id long, text string"), unit=20).collect()
+    got = near.near_classes(spark.createDataFrame(group, "doc_id long, text string"), unit=4000).collect()
     assert {r.class_id for r in got} == {0, *range(500, 530)}
 
 
@@ -469,7 +469,7 @@ def test_near_hot_bucket(spark):
         texts += [changed(base, set(rng.choice(80, 15, replace=False) * 5), f"n{g}x{c}x") for c in range(30)]
         texts += [changed(base, range(a, 400, 100), f"p{g}x{a}x") for a in (7, 57)]
         want |= {n + i: n + min(i, 30) for i in range(32)}
-    got = classes_of(spark, texts, unit=5)
+    got = classes_of(spark, texts, unit=2000)
     assert got == brute_all(enumerate(texts), 0.8) == want
 
 
@@ -482,14 +482,6 @@ def test_near_late_partner(spark):
     assert got == brute_all(enumerate(texts), 0.8) == {i: min(i, 6) for i in range(8)}
 
 
-def test_near_sketch_bar():
-    # 80 of 128 bins alike, as a pair at 0.8 may have by chance.
-    one, other = bytes([1] * 128), bytes([1] * 80 + [2] * 48)
-    cols = {c: [0, 0] for c in ("t", "key", "lo", "hi", "block")} | {"n": [400, 400], "k": [1, 2], "d1": [3, 4], "class": [1, 2], "sketch": [one, other], "node": [5, 6], "done": pa.array([[], []], pa.list_(pa.int64()))}
-    out = near._propose(0.8, 1)(iter([pa.RecordBatch.from_pydict(cols)]))
-    assert [r for b in out for r in b.to_pylist()] == [{"a": 2, "da": 4, "b": 1, "db": 3}]
-
-
 def test_similarity():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
+import shutil
 import tempfile
-import time
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,26 +20,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own_folder: list[str] = []
 
-    It does so after collections of garbage on the driver. The session refers to what it ran last,
-    hence the queries; chains of references take up to three rounds.
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
+
+    Without that setting a folder of this process is used in local mode, and gone at its end; on a cluster that is an error, for
+    no local folder is seen by all executors.
     """
-    for _ in range(4):
-        spark.range(0).collect()
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp("-tables"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return "file://" + _own_folder[0]
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the cluster names."""
+    """Cuts the lineage: writes df as a table in the shared folder and reads it again.
+
+    The shuffle files behind it are deleted as soon as it is written, for nothing reads them any more.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that durable() wrote and that no later frame reads."""
+    for t in tables:
+        path = getattr(t, "_table", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def temp_name(df: DataFrame, base: str) -> str:

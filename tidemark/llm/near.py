@@ -1,8 +1,7 @@
-"""Near-duplicate texts: Order MinHash candidates, verified by banded alignment."""
+"""Near-duplicate texts: Order MinHash buckets, pairs counted exactly and verified by banded alignment."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,13 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, durable, mix, release, rows_of, shingles
+from .common import Words, by_bytes, discard, durable, mix, rows_of, shingles, temp_name
 from .components import components, runs
 
-#: Words of a k-mer, ordered samples (tables), k-mers in a sample, bins of the sketch, sketch bits a bin.
-K, SAMPLES, LENGTH, BINS = 5, 16, 3, 128
-#: Texts in a block of a hot bucket; a unit compares those of a block, or of one block with those of another.
-UNIT = 1500
+#: Words of a k-mer, ordered samples (tables), k-mers in a sample, tables of the first pass.
+K, SAMPLES, LENGTH, FIRST = 5, 16, 3, 4
+#: k-mers in a block of a bucket, where each text counts for WEIGHT more; a unit of work holds one block or two.
+UNIT, WEIGHT = 65536, 32
+_NULL = -(1 << 63)
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -49,13 +49,27 @@ def order_minhash(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """A byte for each of BINS: of the smallest labelled k-mer in it; 0 for an empty bin."""
-    h = mix(x, 11)
-    best = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(best, (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
-    full = best != np.iinfo(np.uint64).max
-    return np.where(full, best % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence whose matches stay within `band` of the diagonal.
+
+    Bit-parallel: one number holds a row of the alignment, so a step costs len(b) / 64 words
+    however often a k-mer repeats.
+    """
+    places: dict[int, int] = {}
+    for j, s in enumerate(b.tolist()):
+        places[s] = places.get(s, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    window = (1 << 2 * band + 1) - 1
+    row = whole
+    for i, s in enumerate(a.tolist()):
+        m = places.get(s)
+        if m is None:
+            continue
+        if band < len(b):
+            m &= window << i - band if i >= band else window >> band - i
+        u = row & m
+        row = ((row + u) | (row - u)) & whole
+    return len(b) - row.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -67,12 +81,9 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """
     total = len(a) + len(b)
     need = threshold / (1 + threshold) * total - 1e-9
-    if min(len(a), len(b)) < need:
-        return 0.0
-    x, y = labelled(a), labelled(b)
-    if len(np.intersect1d(x, y, assume_unique=True)) < need:
-        return 0.0
     n = min(len(a), len(b))
+    if n < need:
+        return 0.0
     d = np.flatnonzero(a[:n] != b[:n])
     head = int(d[0]) if len(d) else n
     d = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
@@ -80,77 +91,42 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     shared = head + tail
     if len(a) and len(b):
-        band = int((1 - threshold) / (1 + threshold) * total) + 1
-        order = np.argsort(b, kind="stable")
-        low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-        order = order.tolist()
-        ends: list[int] = []
-        for i in np.flatnonzero(high > low).tolist():
-            for j in reversed(order[low[i] : high[i]]):
-                if abs(i - j) <= band:
-                    k = bisect_left(ends, j)
-                    if k == len(ends):
-                        ends.append(j)
-                    else:
-                        ends[k] = j
-        shared += len(ends)
+        shared += aligned(a, b, int((1 - threshold) / (1 + threshold) * total) + 1)
     return shared / (total - shared) if shared >= need else 0.0
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in rows_of(batches, "k", "text"):
+    """d: a digest of the words; for a text without words of its id and text, so that only repeated rows share it."""
+    for uid, ids, hashes, texts in rows_of(batches, "uid", "k", "th", "text"):
         for a, b in by_bytes(texts):
             w = Words(texts[a:b])
             h = w.hashes
-            n, digests, keys, sketches = [], [], [], []
+            n, digests, keys = [], [], []
             for i in range(b - a):
                 words = h[w.first[i] : w.first[i + 1]]
                 n.append(max(len(words) - K + 1, min(len(words), 1)))
-                digests.append(xxhash.xxh3_128_intdigest(words.tobytes()))
                 if len(words):
-                    x = labelled(shingles(words, K))
-                    keys.append(order_minhash(x).view(np.int64).tolist())
-                    sketches.append(sketch(x))
+                    digests.append(xxhash.xxh3_128_digest(words.tobytes()))
+                    keys.append(order_minhash(labelled(shingles(words, K))).view(np.int64).tolist())
                 else:
+                    digests.append(xxhash.xxh3_128_digest(np.array([ids[a + i], hashes[a + i]]).tobytes(), seed=1))
                     keys.append([])
-                    sketches.append(b"")
-            half = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([half(d & ((1 << 64) - 1)) for d in digests], pa.int64()), pa.array([half(d >> 64) for d in digests], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["k", "d1", "d2", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid[a:b], pa.int64()), pa.array(ids[a:b], pa.int64()), pa.array(hashes[a:b], pa.int64()), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "k", "th", "d", "n", "keys"])
+
 
+def _links(threshold: float):
+    """Links in each unit of work, as stars around the least digest of each group that it connects.
 
-def _propose(threshold: float, take: int):
-    """Candidates in each unit: for each text, of those before it that are in another class and not yet tried with it, the `take` nearest by sketch."""
-    least = max(0.0, threshold - 0.2)
+    Rows of a unit have (n, d, label, tried, side, keys, text). Compared are pairs with different labels, of different sides
+    (or side -1), not of one block of the first pass (tried), and that share no earlier sample, for there they are compared.
+    How many labelled k-mers a pair shares is counted exactly for a text and all before it at once; only pairs that reach the
+    threshold by that count, and that the unit hasn't connected yet, are aligned.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for r in runs(batches, "t", "key", "lo", "hi"):
-            g = r.num_rows
-            if g < 2:
-                continue
-            k, d, n, c = (r.column(x).to_numpy() for x in ("k", "d1", "n", "class"))
-            if (c == c[0]).all():
-                continue
-            s = np.frombuffer(b"".join(r.column("sketch").to_pylist()), dtype=np.uint8).reshape(g, BINS)
-            full = s != 0
-            node, done = r.column("node").to_numpy(), r.column("done").combine_chunks()
-            cuts, done = done.offsets.to_numpy(), done.values.to_numpy()
-            block = r.column("block").to_numpy()
-            across = r.column("lo")[0] != r.column("hi")[0]
-            for i in range(1, g):
-                lo = np.searchsorted(n, threshold * n[i] - 1e-9)  # rows come by n: fewer k-mers than that can't meet the threshold
-                if lo >= i:
-                    continue
-                both = full[i] & full[lo:i]
-                same = ((s[lo:i] == s[i]) & both).sum(axis=1) / np.maximum(1, (full[i] | full[lo:i]).sum(axis=1))
-                fit = np.flatnonzero((c[lo:i] != c[i]) & ((same >= least) | (n[i] < 2 * BINS)))
-                if across:
-                    fit = fit[block[lo + fit] != block[i]]
-                if cuts[i] < cuts[i + 1]:
-                    fit = fit[~np.isin(node[lo + fit], done[cuts[i] : cuts[i + 1]])]
-                if len(fit) > take:
-                    fit = fit[np.argsort(-same[fit], kind="stable")[:take]]
-                out += [(k[i], d[i], k[j], d[j]) for j in fit + lo]  # the later one first, which is so in every unit
+        out: list[tuple[bytes, bytes]] = []
+        for r in runs(batches, "t", "key", "u"):
+            out += _unit(r, threshold)
             if len(out) > 20_000:
                 yield _edges(out)
                 out = []
@@ -160,23 +136,131 @@ def _propose(threshold: float, take: int):
     return run
 
 
-def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    rows = list(set(rows))
-    return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(4)], names=["a", "da", "b", "db"])
+def _edges(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*set(rows))], names=["a", "b"])
+
+
+def _unit(r: pa.Table, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    d = r.column("d").to_pylist()
+    first = [i for i in range(len(d)) if not i or d[i] != d[i - 1]]  # repeated rows have one digest and stand together
+    m = len(first)
+    if m < 2:
+        return
+    r = r.take(first) if m < len(d) else r
+    d = [d[i] for i in first]
+    n, side, tried, t = r.column("n").to_numpy(), r.column("side").to_numpy(), r.column("tried").to_numpy(), r.column("t")[0].as_py()
+    labels = r.column("label").to_pylist()
+    number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    group = np.array([number[x] for x in labels])
+    if len(number) == 1:
+        return
+    keys = np.array(r.column("keys").to_pylist(), dtype=np.int64)[:, :t]
+    runs_, x = [], []
+    texts = r.column("text").to_pylist()
+    for a, b in by_bytes(texts):
+        w = Words(texts[a:b])
+        h = w.hashes
+        runs_ += [shingles(h[w.first[i] : w.first[i + 1]], K) for i in range(b - a)]
+    del texts
+    x = np.unique(np.concatenate([labelled(s) for s in runs_]), return_inverse=True)[1]
+    at = np.zeros(m + 1, dtype=np.int64)
+    np.cumsum(n, out=at[1:])
+    mark = np.zeros(int(x.max()) + 1, dtype=np.int32)
+    start = group.copy()
+    low = np.searchsorted(n, threshold * n - 1e-9)  # rows come by n: those with fewer k-mers can't meet the threshold
+    for i in range(1, m):
+        lo = low[i]
+        open_ = group[lo:i] != group[i]
+        if side[i] >= 0:
+            open_ &= side[lo:i] != side[i]
+        if tried[i] >= 0:
+            open_ &= tried[lo:i] != tried[i]
+        if t and open_.any():
+            open_ &= ~(keys[lo:i] == keys[i]).any(axis=1)
+        if not open_.any():
+            continue
+        own = x[at[i] : at[i + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[x[at[lo] : at[i]]], at[lo:i] - at[lo])
+        mark[own] = 0
+        share = shared / (n[lo:i] + n[i] - shared)
+        fit = np.flatnonzero(open_ & (share >= threshold - 1e-9))
+        for j in (lo + fit[np.argsort(-share[fit], kind="stable")]).tolist():
+            if group[j] != group[i] and similarity(runs_[i], runs_[j], threshold) >= threshold:
+                group[group == group[j]] = group[i]
+    for g in np.unique(group):
+        ends = np.flatnonzero(group == g)
+        ends = ends[np.unique(start[ends], return_index=True)[1]]  # one row stands for those that came connected
+        least = min(d[i] for i in ends)
+        yield from ((d[i], least) for i in ends if d[i] != least)
 
 
-def _verify(threshold: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, ta, tb in rows_of(batches, "a", "b", "ta", "tb"):
-            good = []
-            for x, y in by_bytes([p + q for p, q in zip(ta, tb)]):
-                w = Words([*ta[x:y], *tb[x:y]])
-                h, m = w.hashes, y - x
-                s = [shingles(h[w.first[i] : w.first[i + 1]], K) for i in range(2 * m)]
-                good += [x + i for i in range(m) if similarity(s[i], s[m + i], threshold) >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+_UNIT_COLUMNS = ["t", "key", "u", "side", "tried", "label", "d", "n", "keys", "text"]
 
-    return run
+
+def _compare(rows: DataFrame, threshold: float) -> DataFrame:
+    rows = rows.select(*_UNIT_COLUMNS).repartition("t", "key", "u").sortWithinPartitions("t", "key", "u", "n", "d")
+    return durable(rows.mapInArrow(_links(threshold), "a binary, b binary").distinct())
+
+
+def _mixed_units(near: DataFrame, classes: DataFrame, unit: int) -> DataFrame:
+    """(d, t, key, u, side, tried, label): the units of work of the second pass.
+
+    Only buckets that still hold several labels and that weren't one block before. A label that fills a block has blocks
+    of its own, and no two of those meet; all other labels of the bucket share blocks.
+    """
+    open_ = near.where((F.col("t") >= FIRST) | (F.col("blocks") > 1)).withColumn("tried", F.when(F.col("t") < FIRST, F.col("block")).otherwise(-1).cast("long"))
+    rows = open_.join(classes.select(F.col("id").alias("d"), "component"), "d", "left").select("t", "key", "d", "n", "tried", F.coalesce("component", "d").alias("label"))
+    w = F.sum(F.col("n") + WEIGHT).alias("w")
+    by_label = rows.groupBy("t", "key", "label").agg(w)
+    several = by_label.groupBy("t", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "key")
+    by_label = by_label.join(several, ["t", "key"]).withColumn("g", F.when(F.col("w") >= unit, F.col("label")).otherwise(F.lit(b"")))
+    groups = by_label.groupBy("t", "key", "g").agg(F.ceil(F.sum("w") / unit).cast("int").alias("blocks"))
+    rows = rows.join(by_label.select("t", "key", "label", "g"), ["t", "key", "label"]).join(groups, ["t", "key", "g"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
+    other = groups.select("t", "key", F.col("g").alias("h"), F.col("blocks").alias("others"))
+    meet = groups.join(other, ["t", "key"]).where((F.col("g") < F.col("h")) | ((F.col("g") == F.lit(b"")) & (F.col("h") == F.lit(b""))))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    meet = meet.withColumn("x", upto("blocks")).withColumn("y", upto("others")).where((F.col("g") < F.col("h")) | (F.col("x") <= F.col("y")))
+    meet = meet.withColumn("u", F.xxhash64("g", "x", "h", "y"))
+    alone = (F.col("g") == F.col("h")) & (F.col("x") == F.col("y"))
+    ends = F.explode(F.when(alone, F.array(F.struct(F.col("g"), F.col("x").alias("block"), F.lit(-1).alias("side")))).otherwise(F.array(F.struct(F.col("g"), F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("h").alias("g"), F.col("y").alias("block"), F.lit(1).alias("side")))))
+    units = meet.select("t", "key", "u", ends.alias("e")).select("t", "key", "u", "e.*")
+    return rows.join(units, ["t", "key", "g", "block"]).select("d", "t", "key", "u", "side", "tried", "label")
+
+
+def _rows_with_classes(docs: DataFrame, threshold: float, unit: int, id_col: str, text_col: str) -> DataFrame:
+    """(uid, k, th, class_k, kept) of each row of docs."""
+    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL)).alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    sig = durable(src.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_signatures, "uid long, k long, th long, d binary, n long, keys array<long>"))
+    reps = durable(sig.groupBy("d").agg(F.min(F.struct("k", "uid", "th")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("d", "first.*", "n", "keys"))
+    banded = reps.select("d", "n", F.posexplode("keys").alias("t", "key"))
+    buckets = banded.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum(F.col("n") + WEIGHT) / unit).cast("int").alias("blocks")).where("m > 1").drop("m")
+    block = F.pmod(F.xxhash64("d"), F.col("blocks").cast("long"))
+    near = durable(banded.join(buckets, ["t", "key"]).withColumn("block", block))
+
+    # Texts that share a bucket, each with its places in the tables of the first pass.
+    places = near.groupBy("d").agg(F.collect_list(F.when(F.col("t") < FIRST, F.struct("t", "key", F.col("block").alias("u")))).alias("at"))
+    wanted = reps.join(places, "d").select("k", "th", "d", "n", "keys", "at")
+    if not sig.groupBy("k", "th").count().where("count > 1").isEmpty():
+        src = src.dropDuplicates(["k", "th"])  # repeated rows have one text
+    texts = durable(src.join(wanted, ["k", "th"]).select("d", "n", "keys", "at", "text"))
+
+    # First pass: the blocks of the first tables, each by itself.
+    rows = texts.select("d", "n", "keys", "text", F.explode("at").alias("p")).select("d", "n", "keys", "text", "p.*")
+    one = _compare(rows.select("*", F.lit(-1).alias("side"), F.lit(-1).cast("long").alias("tried"), F.col("d").alias("label")), threshold)
+    classes = components(one)
+    # Second pass: what is left, in buckets that hold texts of several classes.
+    two = _compare(_mixed_units(near, classes, unit).join(texts.drop("at"), "d"), threshold)
+    stars = classes.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if not two.isEmpty():
+        classes = components(stars.union(two))
+    discard(near, texts, one, two)
+
+    classed = reps.join(classes.withColumnRenamed("id", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    least = classed.groupBy("component").agg(F.min(F.struct("k", "uid")).alias("least"))
+    by_text = classed.select("d", "component").join(least, "component").select("d", F.col("least.k").alias("class_k"), F.col("least.uid").alias("class_uid"))
+    return sig.select("uid", "k", "th", "d").join(by_text, "d").select("uid", "k", "th", "class_k", (F.col("uid") == F.col("class_uid")).alias("kept"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,85 +272,31 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_c
     goes on. Order MinHash: each of 16 samples takes the three smallest of a text's
     occurrence-labelled k-mers and keeps their text order; texts with an equal sample are candidates.
     A pair at similarity 0.8 shares a given sample with chance about 0.5, so all 16 fail for about 1 pair
-    in 60,000; the sketch rejects one of 256 and more five-word runs with chance about 8e-8. A bucket of more than `unit` texts is cut into blocks, and each block and pair of blocks is a unit
-    of work, so all its pairs are compared and no task holds a whole hot bucket. In a unit, texts are compared by a 128-bin sketch and each proposes its nearest partner
-    of another class; their alignment is verified on whole texts. The first rounds take one and four of the
-    samples, so that large classes form early; from then on each takes all, and proposes twice as many partners as the one before, of those
-    in other classes that a text hasn't been tried with. Rounds end when none is left: each pair of a bucket that passes the sketch is then
-    verified or in one class. Neither pairs nor classes are collected.
-
-    Returns id, class_id (smallest id of the class), kept (id = class_id). Texts without words
-    (null, empty, marks only) link with nothing. Rows with one id are one node: they share a class, and one is kept only
-    in the sense of its id. Null ids count as the smallest long and come back as null, with class_id null if it is theirs.
+    in 60,000; nothing else is missed.
+
+    Candidates are never listed. A bucket is cut into blocks of about `unit` k-mers; a unit of work is a block, or two blocks of
+    a bucket, and holds whole texts. In it the shared k-mers of all pairs that aren't connected yet are counted exactly, and pairs that
+    reach the threshold are verified by banded alignment; the unit returns a star for each group it connects, so at most one link a text.
+    The first pass takes the blocks of four samples by themselves. Its components label the texts for the second pass, which takes
+    all samples and all pairs of blocks, but only of buckets with several labels, and compares only texts of different
+    labels: two blocks of one class never meet. There is no limit on partners, buckets or rounds.
+
+    Returns id, class_id (smallest id of the class), kept: true for one row of each class, which has that id. Texts without words
+    (null, empty, marks only) link with nothing, but for rows with equal id and text: repeated rows are copies like others.
+    Null ids count as the smallest long and come back as null, with class_id null if it is theirs. Other columns are ignored. An empty table gives no rows.
     """
-    null_id = -(1 << 63)
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(null_id)).alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sig = durable(src.mapInArrow(_signatures, "k long, d1 long, d2 long, n long, keys array<long>, sketch binary"))
-    reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    banded = reps.select("k", "d1", "n", "sketch", F.posexplode("keys").alias("t", "key"))
-    multi = banded.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / unit).cast("int")
-    banded = durable(banded.join(multi, ["t", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k", "d1"), F.col("blocks").cast("long")).cast("int")).drop("m"))
-
-    # Rows with one id are one node, whatever their texts; their first texts stand for the classes of copies.
-    copies = durable(sig.where("n > 0").join(reps.select("d1", "d2", F.col("k").alias("rep")), ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct())
-    tried = texts = classes = None
-    tables, take = 1, 1
-    while True:
-        rows = banded.where(F.col("t") < tables)
-        if classes is None:
-            rows = rows.withColumn("class", F.col("k"))
-        else:
-            rows = rows.join(classes.select(F.col("id").alias("k"), "component"), "k", "left").withColumn("class", F.coalesce("component", "k")).drop("component")
-            mixed = rows.groupBy("t", "key").agg(F.min("class").alias("c"), F.max("class").alias("other")).where("c <> other").select("t", "key")
-            rows = rows.join(mixed, ["t", "key"], "left_semi")  # before a hot bucket is dealt to pairs of blocks
-        rows = rows.withColumn("node", F.xxhash64("k", "d1"))
-        if tried is None:
-            rows = rows.withColumn("done", F.array().cast("array<long>"))
-        else:
-            done = tried.groupBy(F.xxhash64("a", "da").alias("node")).agg(F.collect_list(F.xxhash64("b", "db")).alias("done"))
-            rows = rows.join(done, "node", "left").withColumn("done", F.coalesce("done", F.array().cast("array<long>")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        rows = rows.select("t", "key", "lo", "hi", "block", "n", "k", "d1", "class", "sketch", "node", "done").repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "n", "k", "d1")
-        found = rows.mapInArrow(_propose(threshold, take), "a long, da long, b long, db long").distinct()
-        found = durable(found)
-        release(docs.sparkSession)
-        if found.isEmpty():
-            if tables == SAMPLES:
-                break
-            tables *= 4
-            continue
-        if texts is None:
-            # Any text that shares a bucket may be proposed in some round; its id and digest choose its row, equal rows are one.
-            nodes = banded.select("k", "d1").distinct()
-            chosen = sig.select("k", "d1", "n").join(nodes, ["k", "d1"], "left_semi").select("k").distinct()
-            texts = durable(src.join(chosen, "k", "left_semi").mapInArrow(_digested, "k long, d1 long, text string").join(nodes, ["k", "d1"], "left_semi").dropDuplicates(["k", "d1"]))
-            release(docs.sparkSession)
-        pairs = found.join(texts.select(F.col("k").alias("a"), F.col("d1").alias("da"), F.col("text").alias("ta")), ["a", "da"]).join(texts.select(F.col("k").alias("b"), F.col("d1").alias("db"), F.col("text").alias("tb")), ["b", "db"])
-        new = durable(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
-        tried = found if tried is None else tried.union(found)
-        if not new.isEmpty():
-            classes = components(new if classes is None else new.union(_stars(classes)))
-        if tables < SAMPLES:
-            tables *= 4
-        else:
-            take *= 2
-    # Copies hang on the one that stands for them, so only these take part in the rounds.
-    final = components(copies if classes is None else copies.union(_stars(classes)))
-    out = docs.select(F.col(f"`{id_col}`").alias("id")).withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(null_id))).join(final.withColumnRenamed("id", "k"), "k", "left")
-    c = F.coalesce("component", "k")
-    return out.select(F.col("id").alias(id_col), F.when(c != null_id, c).alias("class_id"), (c == F.col("k")).alias("kept"))
-
-
-def _stars(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) from each node to the smallest of its class."""
-    return classes.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-
-
-def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in rows_of(batches, "k", "text"):
-        for a, b in by_bytes(texts):
-            w = Words(texts[a:b])
-            h = w.hashes
-            low = [xxhash.xxh3_128_intdigest(h[w.first[i] : w.first[i + 1]].tobytes()) & ((1 << 64) - 1) for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.array(low, dtype=np.uint64).view(np.int64)), pa.array(texts[a:b], pa.string())], names=["k", "d1", "text"])
+    rows = _rows_with_classes(docs, threshold, unit, id_col, text_col)
+    known = lambda c: F.when(F.col(c) != _NULL, F.col(c))
+    return rows.select(known("k").alias(id_col), known("class_k").alias("class_id"), "kept")
+
+
+def keep_first(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_classes keeps: one of each class, with all its columns."""
+    rows = _rows_with_classes(docs, threshold, unit, id_col, text_col)
+    k, th = temp_name(docs, "k"), temp_name(docs, "th")
+    stay = durable(rows.groupBy("k", "th").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("m")).where("kept").select(F.col("k").alias(k), F.col("th").alias(th), "m"))
+    marked = docs.withColumn(k, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL))).withColumn(th, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    out = marked.join(stay.where("m = 1"), [k, th], "left_semi")
+    if not stay.where("m > 1").isEmpty():
+        out = out.unionByName(marked.join(stay.where("m > 1"), [k, th], "left_semi").dropDuplicates([k, th]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
