@@ -1,16 +1,20 @@
 """Parsers, summaries, union, LogQL, SQL API, lifecycle, streaming and alerts."""
 
 import re
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import limits
 from tidemark.functions import parsers
 from tidemark.functions.labels import merge_labels, parse_labels, render_labels
 from tidemark.model import INGEST_NS, METRICS, empty, stamp
 from tidemark.operators import alerts, joins, lifecycle, logs, metrics
 from tidemark.operators.union import union_by_name
-from tidemark.plans import logql, sqlapi
+from tidemark.plans import logql, params, sqlapi
 from tidemark.sources import catalog, sinks
 from tidemark.sources.catalog import Segment
 from tidemark.streaming import pipeline
@@ -168,10 +172,24 @@ def segs(n, tier=0, size=2 << 20):
 def test_planners():
     assert lifecycle.plan_merge(segs(5)) is None
     assert lifecycle.plan_merge(segs(6)).to_tier == 1
-    assert len(lifecycle.plan_merge(segs(20), budget=16 << 20).sources) == 8
+    assert len(lifecycle.plan_merge(segs(20), most=8).sources) == 8
+    assert len(lifecycle.plan_merge(segs(20, size=200 << 20), seal=1 << 30).sources) == 5  # within the bytes of a sealed one, though under least
     assert lifecycle.plan_merge(segs(8, size=3 << 30)) is None
-    mixed = segs(6) + [Segment(0, "big", 1 << 30, 25, 26)]
-    assert lifecycle.plan_merge(mixed) is None  # a larger neighbour parts the run
+    between = segs(6) + [Segment(0, "big", 1 << 30, 25, 26)]
+    assert [s.path for s in lifecycle.plan_merge(between).sources] == [f"p{i}" for i in range(6)]  # one of another level between them parts nothing
+    far = [Segment(0, f"p{i}", 2 << 20, i * 100, i * 100 + 9) for i in range(8)]
+    assert lifecycle.plan_merge(far) is None  # gaps are longer than segments
+    over = [Segment(0, f"p{i}", 2 << 20, i * 10, i * 10 + 15) for i in range(8)]
+    assert lifecycle.plan_merge(over) is None  # overlaps part a chain
+    instants = [Segment(0, f"p{i}", 2 << 20, i * 60_000, i * 60_000) for i in range(6)]
+    assert len(lifecycle.plan_merge(instants).sources) == 6
+    two = segs(6, tier=1) + [Segment(0, f"q{i}", 100, i * 10, i * 10 + 9) for i in range(7)]
+    assert lifecycle.plan_merge(two).to_tier == 1 and len(lifecycle.plan_merge(two).sources) == 7  # the lowest tier first
+    level = segs(6, size=100 << 20) + [Segment(0, f"q{i}", 100, i * 10, i * 10 + 9) for i in range(7)]
+    assert {s.path[0] for s in lifecycle.plan_merge(level).sources} == {"q"}  # then the lowest level
+    asked = [lifecycle.Merge(tuple(segs(1)), 3)]
+    assert lifecycle.choose(asked, lambda: None, lambda: None, []).to_tier == 3 and not asked
+    assert lifecycle.choose([], lambda: None, lambda: None, [lambda: lifecycle.Merge((), 9)]).to_tier == 9
     m = lifecycle.plan_log_merges(100_000, segs(2), [])
     assert len(m) == 1 and m[0].to_tier == 0
     assert lifecycle.plan_log_merges(100, segs(2), []) == []
@@ -211,7 +229,7 @@ def test_store_round_trip(spark, tmp_path):
     out = lifecycle.materialize(spark, "x", "SELECT count(*) AS n FROM merge_output", catalog.read_metrics(spark, src), catalog.read_metrics(spark, [merged]), root)
     assert spark.read.parquet(out).first().n == 2
     assert lifecycle.materialize(spark, "x", "SELECT FROM", empty(spark, METRICS), empty(spark, METRICS), root) is None
-    views = catalog.tenant_views(spark, [merged], {}, {"x": out})
+    views = catalog.tenant_views(spark, [merged], {}, {"x": [out]})
     assert sqlapi.run_sql(spark, "SELECT (SELECT count(*) FROM metrics) + (SELECT max(n) FROM mat_x) + (SELECT count(*) FROM logs) AS n", views).first().n == 4
     sinks.write_parquet(spark.range(5).withColumn("m", F.lit("x")), f"{root}/z", "zstd", bloom=["m"])
     assert spark.read.parquet(f"{root}/z").count() == 5
@@ -294,6 +312,74 @@ def test_alert_extras(spark):
     assert p["status"] == "firing" and p["commonLabels"] == {"a": "1"} and p["version"] == "4"
 
 
+# --- limits and parameters -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT Reflect('java.lang.System','getProperty','user.home') FROM v", "SELECT `reflect`('java.lang.System', 'getProperty', 'a') FROM v", "SELECT (SELECT max(jAva_method('a', 'b')) FROM v)",
+    "SELECT * FROM v LATERAL VIEW explode(array(reflect('a', 'b'))) t AS x", "SELECT transform(array(1), x -> reflect('a', 'b')) FROM v", "WITH q AS (SELECT try_reflect('a', 'b') AS k FROM v) SELECT * FROM q",
+    "SELECT k FROM v ORDER BY REFLECT('a', 'b')", "SELECT k FROM v WHERE k IN (SELECT reflect('a', 'b'))", "SELECT * FROM VALUES (reflect('a', 'b')) t(x)", "SELECT sum(k) OVER (PARTITION BY input_file_name()) FROM v",
+    "SELECT system.builtin.reflect('a', 'b') FROM v", "SELECT * FROM python_worker_logs()", "SELECT * FROM w", "SELECT mine(k) FROM v", "SELECT CURRENT_USER() FROM v",
+])
+def test_sql_refuses_functions(spark, sql):
+    spark.udf.register("mine", lambda x: x)
+    spark.range(1).createOrReplaceTempView("w")
+    with pytest.raises(sqlapi.SQLError):
+        sqlapi.run_sql(spark, sql, {"v": spark.createDataFrame([(1,)], "k int")})
+
+
+def test_sql_sessions(spark):
+    """Queries with views of one name at a time read their own rows, and the caller's view stays."""
+    spark.range(7).createOrReplaceTempView("metrics")
+    frames = [sqlapi.run_sql(spark, "SELECT count(*) AS n FROM metrics", {"metrics": spark.range(n)}) for n in (2, 3)]
+    assert [f.first().n for f in frames] == [2, 3] and spark.table("metrics").count() == 7
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: sqlapi.run_sql(spark, "SELECT count(*) AS n FROM metrics", {"metrics": spark.range(n)}).first().n, range(8)))
+    assert got == list(range(8)) and spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false") == "false"
+    spark.catalog.dropTempView("metrics")
+
+
+def test_admission():
+    a = limits.Admission(1, queue=1, wait=0.2)
+    with a.place():
+        with pytest.raises(limits.Busy, match="wait timeout"), a.place():
+            pass
+        held = threading.Thread(target=lambda: pytest.raises(limits.Busy, a.place().__enter__))
+        held.start()
+        while not a.waiting and held.is_alive():
+            time.sleep(0.01)
+        with pytest.raises(limits.Busy, match="queue full"), a.place():
+            pass
+        held.join()
+    with a.place():
+        pass
+    assert a.counts == {"admitted": 2, "queue full": 1, "wait timeout": 2} and a.running == a.waiting == 0
+
+
+def test_within_time(spark):
+    slow = spark.range(0, 10**14, 1, 4).select(F.sum(F.sin("id")))
+    began = time.monotonic()
+    with pytest.raises(limits.QueryTimeout):
+        limits.within_time(spark, slow.collect, 1)
+    assert time.monotonic() - began < 30
+    assert limits.within_time(spark, lambda: spark.range(3).count(), 60) == limits.within_time(spark, lambda: 3, None) == 3
+
+
+def test_params():
+    assert params.prom_time_ms("1.5") == 1500 and params.prom_time_ms("1704067200") == 1704067200000 and params.prom_time_ms("1e3") == 1_000_000
+    assert params.prom_time_ms("2024-01-01T01:00:00.25+01:00") == 1704067200250 and params.prom_time_ms(" ", 7) == 7
+    assert params.loki_time_ns("1704067200000000001") == 1704067200000000001 and params.loki_time_ns("1.0000000019") == 1_000_000_001
+    assert params.loki_time_ns("-1.5") == -1_500_000_000 and params.loki_time_ns("2024-01-01T00:00:00Z") == 1704067200 * 10**9
+    assert params.duration_ms("1m30s") == 90_000 and params.duration_ms("15") == 15_000 and params.duration_ms("0.5") == 500 and params.duration_ms("1.5h") == 5_400_000
+    for f, bad in ((params.prom_time_ms, "yesterday"), (params.loki_time_ns, "2024-01-01"), (params.loki_time_ns, "1.x"), (params.duration_ms, ""), (params.duration_ms, "5 apples"), (params.prom_time_ms, "2024-13-01T00:00:00Z")):
+        with pytest.raises(params.ParamError):
+            f(bad)
+    assert params.prom_range("0", None, "15s", 0, 60_000) == (0, 60_000, 15_000)
+    for bad in (("0", "100000", "1s"), ("5", "1", "1s"), ("0", "1", "0")):
+        with pytest.raises(params.ParamError):
+            params.prom_range(*bad, 0, 0)
+
+
 def test_registry():
     from tidemark.queries import ORACLES, QUERIES
 

@@ -1,7 +1,14 @@
 """A tenant's store end to end, and the scraping source."""
 
+import os
+import shutil
+
 import pytest
 
+from tidemark.limits import Admission, Busy
+from tidemark.model import INGEST_NS
+from tidemark.operators.lifecycle import Materialization, Merge
+from tidemark.sources.files import Files
 from tidemark.sources.scrape import ScrapeReader, ScrapeSource
 from tidemark.store import Store, reconcile, widest
 from tidemark.plans.promql import parse
@@ -26,12 +33,13 @@ def test_store(spark, tmp_path):
     now[0] = T + 100
     s.ingest_metrics(spark.createDataFrame([("up", 'job="a"', 9.0, 0)], schema))
     s.roll()
-    merged = s.compact(least=2)
+    assert s.compact(least=2) is None  # 70 s apart, but 30 s long
+    merged = s.compact(queue=[Merge(tuple(s.segments(s.state["metrics"])), 1)])
     assert merged.tier == 1 and s.metrics().count() == 4 and s.rollups("1m").count() == 2
     assert s.range("2024-01-01 00:00:00", "2024-01-01 00:00:20").count() == 2
     assert s.sql("SELECT count(*) AS n FROM metrics").first().n == 4
     assert s.materialize("by-name", "SELECT __name__, count(*) AS n FROM merge_output GROUP BY 1")
-    assert len(s.purge(0)) == 2
+    assert len(s.purge(0)) == 7 and s.metrics().count() == 4  # 4 hot windows, a snapshot, 2 segments
     s.land_logs("logs-raw", spark.createDataFrame([("disk full", "none")], "message string, format string"))
     assert s.logs().count() == 0
     now[0] += 120
@@ -40,11 +48,119 @@ def test_store(spark, tmp_path):
     assert {(r.label, r.label_value) for r in s.label_index().collect()} == {("job", "tidemark"), ("format", "none")}
     assert s.stats()["metrics"]["segments"] == 1
     again = Store(spark, str(tmp_path), "acme", clock=lambda: now[0])
-    assert again.metrics().count() == 4 and again.expire(0) == 1
+    again_rollups = again.state["rollups"]
+    now[0] += 1
+    assert again.metrics().count() == 4 and again.expire(0) == 1 + len(again_rollups) + 1
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path), "../x")
 
 
+SCHEMA = "`__name__` string, labels string, value double, timestamp_ms long"
+
+
+def folders(root):
+    """Folders with Parquet files."""
+    return {d for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet")}
+
+
+def known(s):
+    st = s.state
+    rows = [*st["metrics"], *st["hot"], *([st["snapshot"]] if st["snapshot"] else []), *(r for p in (st["logs"], st["landing"], st["rollups"], st["materialized"]) for x in p.values() for r in x)]
+    return {r["path"] for r in rows} | set(st["retired"]) | ({st["index"]} if st["index"] else set())
+
+
+def test_lifecycle(spark, tmp_path):
+    now = [T]
+    s = Store(spark, str(tmp_path / "hot"), "acme", clock=lambda: now[0], cold_root=str(tmp_path / "cold"))
+    per_name = Materialization("per-name", "SELECT __name__, count(*) AS n FROM merge_output GROUP BY 1")
+    never = Materialization("never", "SELECT nothing FROM merge_output")
+    late = Materialization("late", "SELECT count(*) AS n FROM merge_input", min_tier=2)
+    for i in range(4):
+        for j in range(2):
+            now[0] = T + i * 60 + j * 50
+            s.ingest_metrics(spark.createDataFrame([("up", 'job="a"', float(i), 0)], SCHEMA))
+        s.roll()
+        if i % 2:
+            m = s.compact(least=2, materializations=[per_name, never, late])
+            assert m.tier == 1 and s.rollups("1m").agg({"count": "sum"}).first()[0] == 4 * (i // 2 + 1)
+    assert s.sql("SELECT sum(n) AS n FROM mat_per_name").first().n == 8 and "never" not in s.state["materialized"]
+    m = s.compact(least=2, materializations=[per_name, never, late])
+    assert m.tier == 2 and s.metrics().count() == 8
+    # A second merge counts no row twice.
+    assert s.rollups("1m").agg({"count": "sum"}).first()[0] == 8 and s.sql("SELECT sum(n) AS n FROM mat_per_name").first().n == 8
+    assert s.sql("SELECT max(n) AS n FROM mat_late").first().n == 8
+    assert folders(tmp_path / "hot") <= known(s)
+    s.land_logs("logs-raw", spark.createDataFrame([("disk full", "none")], "message string, format string"))
+    now[0] += 3600
+    assert s.refresh("logs-raw") == 1 and s.land_logs("logs-raw", spark.createDataFrame([], "message string, format string")) is None
+    s.purge(0)
+    assert folders(tmp_path / "hot") == {p for p in known(s) if folders(p)} and s.metrics().count() == 8 and s.logs().count() == 1
+    # Cold storage: copied, checked, and read from there.
+    now[0] += 13 * 3600
+    moved = s.promote()
+    assert [x.tier for x in moved] == [2] and moved[0].path.startswith(str(tmp_path / "cold")) and s.metrics().count() == 8 and s.promote() == []
+    assert not [d for d in folders(tmp_path / "cold") if d.endswith(".tmp")]
+    for _ in range(3):
+        s.land_logs("logs-raw", spark.createDataFrame([("x", "none")], "message string, format string"))
+    assert s.expire(most_landing=1) == 2 and len(s.state["landing"]["logs-raw"]) == 1
+    now[0] += 16 * 86_400
+    assert s.expire() == 1 + len(s.state["rollups"]) + 2
+    assert s.metrics().count() == 0 and s.logs().count() == 0 and not any(s.state["rollups"].values())
+    s.purge(0)
+    assert folders(tmp_path) == {r["path"] for x in s.state["materialized"].values() for r in x} | {s.state["index"]}
+
+
+def test_failed_promotion(spark, tmp_path, monkeypatch):
+    now = [T]
+    s = Store(spark, str(tmp_path / "hot"), "acme", clock=lambda: now[0], cold_root=str(tmp_path / "cold"))
+    s.ingest_metrics(spark.createDataFrame([("up", 'job="a"', 1.0, 0)], SCHEMA))
+    s.roll()
+    s.compact(queue=[Merge(tuple(s.segments(s.state["metrics"])), 1)])
+    now[0] += 86_400
+    sizes = iter(range(100))
+    with monkeypatch.context() as m:
+        m.setattr(Files, "size", lambda self, path: next(sizes))
+        assert s.promote() == []
+    assert s.metrics().count() == 1 and folders(tmp_path / "cold") == set() and len(s.promote()) == 1
+
+
+def test_vanished_files(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "acme", clock=lambda: T)
+    for _ in range(2):
+        s.ingest_metrics(spark.createDataFrame([("up", 'job="a"', 1.0, 0)], SCHEMA))
+    df = s.metrics()
+    shutil.rmtree(s.state["hot"][0]["path"])
+    assert df.count() == 1 and s.metrics().count() == 1
+
+
+def test_log_pruning(spark, tmp_path):
+    now = [T]
+    s = Store(spark, str(tmp_path), "acme", clock=lambda: now[0])
+    ns = int(T) * 10**9
+    for day in range(3):
+        s.land_logs("logs-raw", spark.createDataFrame([(f"line {day}", f"f{day}", ns + day * 86_400 * 10**9)], f"message string, format string, {INGEST_NS} long"))
+        now[0] = T + day * 86_400 + 120
+        s.refresh("logs-raw")
+    files = lambda df: len(df.inputFiles())
+    day = 86_400_000
+    assert files(s.logs()) == 3 and files(s.logs(None, int(T * 1000) + 2 * day, None)) == 1
+    query = "{format=~\"f.*\"}"
+    assert s.logql(query).count() == 3 and s.logql(query, ns + 86_400 * 10**9, ns + 2 * 86_400 * 10**9).count() == 1
+    assert s.logql(query, lookback_ms=day + 200_000).count() == 2  # an open start looks back from now
+    assert [r.label_value for r in s.log_label_values("format").collect()] == ["f0", "f1", "f2"]
+    assert [r.label_value for r in s.log_label_values("format", None, ns + 86_400 * 10**9).collect()] == ["f1", "f2"]
+
+
+def test_sql_page(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "acme", clock=lambda: T, admission=Admission(1))
+    for i in range(3):
+        s.ingest_metrics(spark.createDataFrame([("up", 'job="a"', float(i), 0)], SCHEMA))
+    rows, truncated = s.sql_page("SELECT value FROM metrics ORDER BY value", 2)
+    assert [r.value for r in rows] == [0, 1] and truncated and s.stats()["queries"]["admitted"] == 1
+    with s.admission.place(), pytest.raises(Busy):
+        s.sql_page("SELECT 1")
+
+
 def test_widest():
     assert widest(parse("rate(x[1h] offset 10m)")) == 300_000 + 3_600_000 + 600_000
     assert widest(parse("max_over_time(rate(x[5m])[1h:1m]) + y")) == 300_000 + 300_000 + 3_600_000

@@ -96,72 +96,109 @@ def _qualify(text: str) -> str:
     return f"SELECT * EXCEPT (qualify_) FROM ({inner}) WHERE qualify_ {rest}"
 
 
+def _seq(xs):
+    return [xs.apply(i) for i in range(xs.length())]
+
+
 def _nodes(plan):
     """A logical plan's nodes, those in subqueries and CTEs included."""
     yield plan
     for sub in ("children", "innerChildren", "subqueries"):
-        seq = getattr(plan, sub)()
-        for i in range(seq.length()):
-            x = seq.apply(i)
+        for x in _seq(getattr(plan, sub)()):
             if hasattr(x, "children") and hasattr(x, "subqueries"):
                 yield from _nodes(x)
 
 
+def _expressions(e):
+    yield e
+    for x in _seq(e.children()):
+        yield from _expressions(x)
+
+
+#: Table functions that only make rows from their arguments.
+_GENERATORS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "sequence"}
+#: Built-in functions that run other code, read files or tell about the host, the session or its user.
+_REFUSED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "from_avro", "to_avro", "schema_of_avro", "from_protobuf", "to_protobuf", "current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "version", "spark_partition_id"}
+
+
+def _allowed_functions(spark: SparkSession) -> set[str]:
+    """Spark's own functions without those refused; functions that somebody registered aren't among them."""
+    got = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.functionSet().mkString(",")
+    return {str(x).strip("`").split(".")[-1].strip("`").lower() for x in str(got).split(",")} - _REFUSED
+
+
 def check_read_only(spark: SparkSession, sql: str, views: set[str]) -> None:
-    """Raises unless sql is one query over the given views.
+    """Raises unless sql is one query over the given views with allowed functions.
 
     Spark's own parser decides, so a ; in a string, column lists of CTEs and quoted identifiers are
-    no trouble; commands, writes below a WITH, files as relations and other views are refused.
+    no trouble; commands, writes below a WITH, files as relations and other views are refused. Functions are taken from the parsed
+    expressions, whatever their case, quotes or place (select list, lateral view, FROM), and must be on the list of allowed ones.
     """
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)  # the parser reads this thread's settings
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
-        raise SQLError(str(e).splitlines()[0]) from e
+        raise SQLError(next(filter(str.strip, str(e).splitlines()), "bad SQL")) from e
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
     bad = re.compile(r"Command|Insert|CreateTable|CreateView|Create|Drop|Alter|Delete|Update|Merge|SetCatalog|SetNamespace|UseStatement|Refresh|Cache|Uncache|Load|Truncate|Analyze|Describe|Show|Script")
     names: set[str] = set()
     cte: set[str] = set()
+    functions: set[str] = set()
+    tables: set[str] = set()
     for n in _nodes(plan):
         kind = n.getClass().getSimpleName()
         if bad.search(kind):
             raise SQLError(f"only queries are allowed, not {kind}")
         if kind == "UnresolvedWith":
-            seq = n.cteRelations()
-            for i in range(seq.length()):
-                cte.add(str(seq.apply(i)._1()).lower())
+            cte |= {str(x._1()).lower() for x in _seq(n.cteRelations())}
         if kind == "UnresolvedRelation":
-            ident = n.multipartIdentifier()
-            names.add(".".join(str(ident.apply(i)) for i in range(ident.length())).lower())
-        if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases") and not re.search(r"\[(range|explode|posexplode|stack|inline|sequence)\]", n.toString().splitlines()[0]):
-            raise SQLError("table functions are limited to generators")
-    text = plan.toString()
-    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text):
+            names.add(".".join(map(str, _seq(n.multipartIdentifier()))).lower())
+        if kind == "UnresolvedTableValuedFunction":
+            tables.add(".".join(map(str, _seq(n.name()))).lower())
+        for top in _seq(n.expressions()):
+            for e in _expressions(top):
+                what = e.getClass().getSimpleName()
+                if what == "UnresolvedFunction":
+                    functions.add(".".join(map(str, _seq(e.nameParts()))).lower())
+                elif what == "UnresolvedGenerator":
+                    tables.add(str(e.name().funcName()).lower())
+                elif what in ("CallMethodViaReflection", "InputFileName"):
+                    functions.add(what)
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan.toString()):
         names.add(name.replace(", ", ".").lower())
     unknown = names - {v.lower() for v in views} - cte
     if unknown:
         raise SQLError(f"unknown relations: {', '.join(sorted(unknown))}")
-    if re.search(r"'(reflect|java_method|try_reflect|input_file_name|read_files)\(", text):
-        raise SQLError("functions that reach outside the views are refused")
+    if tables - _GENERATORS:
+        raise SQLError(f"table functions are limited to generators, without {', '.join(sorted(tables - _GENERATORS))}")
+    refused = functions - _allowed_functions(spark)
+    if refused:
+        raise SQLError(f"functions that aren't allowed: {', '.join(sorted(refused))}")
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings and a catalog of its own, so that views of two queries never meet."""
+    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
 
 
 def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], row_cap: int | None = ROW_CAP) -> DataFrame:
     """A query over views, at most row_cap + 1 rows: one more than the cap tells that it was truncated. None: all rows.
 
-    The views live in a session of their own for parsing options; data frames keep their lineage.
+    Each query runs in a session of its own: its views and its parser settings are seen by no other query, and the
+    caller's views of the same names stay as they are.
     """
     text = translate(sql).strip().rstrip(";")
-    key = "spark.sql.ansi.doubleQuotedIdentifiers"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        check_read_only(spark, text, set(views))
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        out = spark.sql(text)
-        return out if row_cap is None else out.limit(row_cap + 1)
-    finally:
-        spark.conf.set(key, before)
-        for name in views:
-            spark.catalog.dropTempView(name)
+    own = _own_session(spark)
+    own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    check_read_only(own, text, set(views))
+    for name, df in views.items():
+        spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+    out = own.sql(text)
+    return out if row_cap is None else out.limit(row_cap + 1)
 
 
 def page(df: DataFrame, row_cap: int = ROW_CAP) -> tuple[list, bool]:

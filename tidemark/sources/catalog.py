@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..model import LOGS, METRICS, empty
 from ..operators.union import union_by_name
+from .files import Files
 
 _TENANT = re.compile(r"[a-z0-9][a-z0-9._-]{0,62}")
 _ARTIFACT = re.compile(r"[a-z][a-z0-9-]{1,63}")
@@ -24,6 +27,7 @@ class Segment:
     min_ts: int
     max_ts: int
     compacted: bool = False
+    schema: str = ""  # as JSON, where known
 
 
 def check_tenant(name: str) -> str:
@@ -63,21 +67,30 @@ def hot_only(segments: list[Segment], start: int, end: int, snapshot: Segment |
     return [*segments, *([snapshot] if snapshot else [])]
 
 
+def present(spark: SparkSession, segments: list[Segment]) -> list[Segment]:
+    """Those whose folder is still there: a merge or retention of another process may have taken one since the listing."""
+    files = Files(spark)
+    return [s for s in segments if files.exists(s.path)]
+
+
 def read_metrics(spark: SparkSession, segments: list[Segment]) -> DataFrame:
-    """One scan over all files."""
+    """One scan over all files that are there; files that go during the scan are passed over."""
+    segments = present(spark, segments)
     if not segments:
         return empty(spark, METRICS)
-    return spark.read.schema(METRICS).parquet(*[s.path for s in segments])
+    return spark.read.schema(METRICS).option("ignoreMissingFiles", "true").parquet(*[s.path for s in segments])
 
 
-def read_logs(spark: SparkSession, segments: list[Segment], ingest_ns: dict[str, int] | None = None) -> DataFrame:
-    """Files combined by name: one scan for each distinct schema, then an aligned union."""
+def read_logs(spark: SparkSession, segments: list[Segment]) -> DataFrame:
+    """Files combined by name: one scan for each distinct schema, then an aligned union. Schemas come from the catalog; a footer is read only where it has none."""
+    segments = present(spark, segments)
     if not segments:
         return empty(spark, LOGS)
     by_schema: dict[str, list[str]] = {}
     for s in segments:
-        by_schema.setdefault(spark.read.parquet(s.path).schema.json(), []).append(s.path)
-    return union_by_name([spark.read.parquet(*paths) for paths in by_schema.values()])
+        by_schema.setdefault(s.schema or spark.read.parquet(s.path).schema.json(), []).append(s.path)
+    read = lambda schema, paths: spark.read.schema(StructType.fromJson(json.loads(schema))).option("ignoreMissingFiles", "true").parquet(*paths)
+    return union_by_name([read(*x) for x in by_schema.items()])
 
 
 def bytes_on_disk(segments: list[Segment]) -> dict[int, int]:
@@ -90,13 +103,14 @@ def bytes_on_disk(segments: list[Segment]) -> dict[int, int]:
 def stat(spark: SparkSession, path: str, tier: int, size: int, column: str = "ts") -> Segment:
     """A segment's row of the catalog, in milliseconds."""
     t = F.unix_millis(F.col(column).cast("timestamp"))
-    low, high = spark.read.parquet(path).agg(F.min(t), F.max(t)).first()
-    return Segment(tier, path, size, low or 0, high or 0)
+    df = spark.read.parquet(path)
+    low, high = df.agg(F.min(t), F.max(t)).first()
+    return Segment(tier, path, size, low or 0, high or 0, schema=df.schema.json())
 
 
-def tenant_views(spark: SparkSession, metrics: list[Segment], logs: dict[str, list[Segment]], materialized: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def tenant_views(spark: SparkSession, metrics: list[Segment], logs: dict[str, list[Segment]], materialized: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """The views of the SQL API: metrics, logs, one for each log artifact, and the materialized tables."""
     frames = {name.replace("-", "_"): read_logs(spark, segs) for name, segs in logs.items()}
     views = {"metrics": read_metrics(spark, metrics), **{n: frames.get(n, empty(spark, LOGS)) for n in ("logs_raw", "logs_template", "logs_summary")}, **frames}
     views["logs"] = union_by_name(list(frames.values())) if frames else empty(spark, LOGS)
-    return views | {f"mat_{n}": spark.read.parquet(p) for n, p in (materialized or {}).items()}
+    return views | {f"mat_{n.replace('-', '_')}": spark.read.parquet(*p) for n, p in (materialized or {}).items()}
