@@ -69,17 +69,17 @@ class Admission:
 
 
 def within_time(spark: SparkSession, work: Callable[[], T], seconds: float | None) -> T:
-    """work(), whose jobs in this session are cancelled after so many seconds; then QueryTimeout. None: no limit."""
+    """work(), whose jobs are cancelled after so many seconds; then QueryTimeout. None: no limit."""
     if seconds is None:
         return work()
     tag, late = f"limit-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         out = work()
@@ -89,7 +89,7 @@ def within_time(spark: SparkSession, work: Callable[[], T], seconds: float | Non
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
     if late.is_set():
         raise QueryTimeout(f"stopped after {seconds} s")
     return out
