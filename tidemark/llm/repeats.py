@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, powers, rows_of, temp_name
+from .common import discard, durable, mix, powers, rows_of, temp_name
 from .suffixes import equal_suffixes
 
 #: Bytes of the samples that anchor a string, of text that is searched at once, and of contexts that are sorted at once.
 GRAM, CHUNK, SORT_BYTES = 40, 1 << 19, 2_000_000
-#: Contexts of one sample beyond which they are dealt anew, by slices of this many offsets.
-MANY, SLICE = 3000, 40
+#: Different contexts of one sample beyond which their strings are grouped by 128-bit hashes instead of being sorted in one task.
+MANY = 256
 _BASE = 0xD1342543DE82EF95
 _POS = np.uint64((1 << 20) - 1)
 
@@ -105,11 +105,7 @@ def _batch(rows: list[tuple], names: list[str] = _NAMES) -> pa.RecordBatch:
 
 
 def _cut_out(length: int):
-    """The bytes of the wanted contexts; those of a sample with many are dealt by slices of offsets.
-
-    Strings whose offset from the sample is in one slice share length - SLICE bytes around it,
-    so a hash of these deals them into separate groups without parting equal strings.
-    """
+    """The bytes of the wanted contexts, with the offset of the sample."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, wants in rows_of(batches, "text", "want"):
@@ -118,20 +114,33 @@ def _cut_out(length: int):
             for text, want in zip(texts, wants):
                 t = _raw(text)
                 for w in want:
-                    s, e, p = w["s"], w["e"], w["p"]
-                    if not w["many"]:
-                        rows.append((w["g"], w["c1"], w["c2"], 0, p - s, t[s : e + length]))
-                    else:
-                        for lo in range((p - e) // SLICE * SLICE, p - s + 1, SLICE):
-                            a, b = max(s, p - lo - SLICE + 1), min(e, p - lo)
-                            core = t[p - lo : p + length - lo - SLICE + 1]
-                            rows.append((_half(xxhash.xxh3_64_intdigest(core, seed=lo) ^ w["g"]), w["c1"], w["c2"], a - s, p - a, t[a : b + length]))
-                    size += len(rows[-1][5])
+                    s, e = w["s"], w["e"]
+                    rows.append((w["g"], w["c1"], w["c2"], w["p"] - s, t[s : e + length]))
+                    size += e + length - s
                     if size > 4_000_000:
-                        yield _batch(rows, ["g", "c1", "c2", "shift", "at", "bytes"])
+                        yield _batch(rows, ["g", "c1", "c2", "at", "bytes"])
                         rows, size = [], 0
             if rows:
-                yield _batch(rows, ["g", "c1", "c2", "shift", "at", "bytes"])
+                yield _batch(rows, ["g", "c1", "c2", "at", "bytes"])
+
+    return run
+
+
+def _each_string(length: int):
+    """(c1, c2, x, h): a 128-bit hash of each string of the wanted contexts; x: its start in the context."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, wants in rows_of(batches, "text", "want"):
+            rows: list[tuple] = []
+            for text, want in zip(texts, wants):
+                t = _raw(text)
+                for w in want:
+                    rows += [(w["c1"], w["c2"], a - w["s"], xxhash.xxh3_128_digest(t[a : a + length])) for a in range(w["s"], w["e"] + 1)]
+                    if len(rows) > 50_000:
+                        yield _batch(rows, ["c1", "c2", "x", "h"])
+                        rows = []
+            if rows:
+                yield _batch(rows, ["c1", "c2", "x", "h"])
 
     return run
 
@@ -173,7 +182,7 @@ def _sort(length: int):
                 base += len(s)
                 step = np.diff(hit)
                 for a, b in zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist()):
-                    out.append((r["c1"], r["c2"], r["shift"] + a, r["shift"] + b))
+                    out.append((r["c1"], r["c2"], a, b))
             if out:
                 yield _batch(out, ["c1", "c2", "x", "y"])
 
@@ -183,19 +192,34 @@ def _sort(length: int):
 def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, th, spans): for each text with strings of `length` bytes that also start elsewhere, the starts (from, to) of these."""
     src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") >= length)
+    # Rows with one id and text are copies of each other: all of them is repeated.
+    again = durable(src.groupBy("k", "th").agg(F.count(F.lit(1)).alias("m"), F.max(F.octet_length("text")).alias("n")).where("m > 1").select("k", "th", F.lit(0).cast("long").alias("from"), (F.col("n") - length).cast("long").alias("to")))
+    if not again.isEmpty():
+        src = src.dropDuplicates(["k", "th"])
     found = src.mapInArrow(_find(length), ", ".join(f"{n} long" for n in _NAMES))
     place = F.xxhash64("k", "th", "p", "s")
-    seen = found.select("g", place.alias("o")).groupBy("g").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("g")
+    # Tables that a join meets are written first, so that each join has two plain shuffles and adaptive execution can split a hot key.
+    seen = durable(found.select("g", place.alias("o")).groupBy("g").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("g"))
     found = durable(found.join(seen, "g", "left_semi"))
+    discard(seen)
     by_context = durable(found.groupBy("g", "c1", "c2").agg((F.min(place) != F.max(place)).alias("twice"), F.first(F.struct("k", "th", "s", "e", "p")).alias("loc")))
     # A context that stands twice is all repeated; one that stands once is compared with the others of its sample.
-    mixed = by_context.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bool_and("twice").alias("all")).where("n > 1 and not all").select("g", (F.col("n") > MANY).alias("many"))
-    want = by_context.join(mixed, "g").select("loc.k", "loc.th", F.struct("g", "c1", "c2", "loc.s", "loc.e", "loc.p", "many").alias("w")).groupBy("k", "th").agg(F.collect_list("w").alias("want"))
-    pieces = src.dropDuplicates(["k", "th"]).join(want, ["k", "th"]).select("text", "want").mapInArrow(_cut_out(length), "g long, c1 long, c2 long, shift long, at long, bytes binary")
-    partial = pieces.repartition("g").sortWithinPartitions("g", "c1", "c2", "shift").mapInArrow(_sort(length), "c1 long, c2 long, x long, y long")
+    mixed = durable(by_context.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bool_and("twice").alias("all")).where("n > 1 and not all").select("g", (F.col("n") > MANY).alias("many")))
+    wanted = by_context.join(mixed, "g").select("loc.k", "loc.th", "many", F.struct("g", "c1", "c2", "loc.s", "loc.e", "loc.p").alias("w"))
+    texts = durable(src.join(wanted.groupBy("k", "th", "many").agg(F.collect_list("w").alias("want")), ["k", "th"]).select("text", "want", "many"))
+    discard(mixed)
+    sorted_ = texts.where("not many").select("text", "want").mapInArrow(_cut_out(length), "g long, c1 long, c2 long, at long, bytes binary")
+    partial = durable(sorted_.repartition("g").sortWithinPartitions("g", "c1", "c2").mapInArrow(_sort(length), "c1 long, c2 long, x long, y long"))
+    if not texts.where("many").isEmpty():
+        strings = durable(texts.where("many").select("text", "want").mapInArrow(_each_string(length), "c1 long, c2 long, x long, h binary"))
+        spot = F.xxhash64("c1", "c2", "x")
+        twice = durable(strings.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h"))
+        partial = partial.union(durable(strings.join(twice, "h", "left_semi").select("c1", "c2", "x", F.col("x").alias("y"))))
+        discard(strings, twice)
     whole = found.join(by_context.where("twice").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("k", "th", F.col("s").alias("from"), F.col("e").alias("to"))
     part = found.join(partial, ["c1", "c2"]).select("k", "th", (F.col("s") + F.col("x")).alias("from"), (F.col("s") + F.col("y")).alias("to"))
-    spans = durable(whole.unionByName(part).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    spans = durable(whole.unionByName(part).unionByName(again).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    discard(found, by_context, texts)
     return spans
 
 
@@ -239,10 +263,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     A string is anchored by the least of its 40-byte samples, which equal strings share. Only strings whose
     sample stands twice go on. Runs of strings with one anchor are a context; one that stands twice
     is repeated as a whole, any other is compared with those of its sample by blockwise
-    suffix sorting (equal_suffixes). Matches never cross texts and are judged on the input.
+    suffix sorting (equal_suffixes). A sample with more than MANY different contexts would be one hot group of a task: there each
+    string is hashed to 128 bits and grouped, map-side first. Matches never cross texts and are judged on the input.
 
     Returns the columns of docs with the remaining text (bytes of a character cut in two are dropped); a null text stays null.
-    Rows with equal id and text are one place. Null ids are one id. Texts under `length` bytes are unchanged.
+    Repeated rows (equal id and text) are copies of each other, so all of each goes. Null ids are one id. Texts under `length` bytes are unchanged. length is 62 or more.
     """
     rows, names = _with_spans(docs, length, id_col, text_col)
     columns, spans_col = docs.columns, names["spans"]

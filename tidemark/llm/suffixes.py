@@ -8,9 +8,17 @@ import numpy as np
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: SHIFT[r, q]: the smallest d for which r + d and q + d are in the cover modulo PERIOD.
 SHIFT = np.array([[next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (q + d) % PERIOD in COVER) for q in range(PERIOD)] for r in range(PERIOD)])
-_SPAN = PERIOD * 8  # bytes that a cover rank stands for: three doublings of a block
-#: The shortest depth that two overlapping spans and the tail cover as laid out below.
-DEPTH = (_SPAN + 4 * PERIOD, 2 * _SPAN)
+#: The shortest strings that a cover span, its shift and a tail of 62 bytes settle.
+LEAST = 2 * PERIOD
+
+
+def span_of(depth: int) -> int:
+    """Bytes that a cover rank stands for: the period, doubled as often as the depth allows with a shift before it."""
+    if depth < LEAST:
+        raise ValueError(f"depth must be {LEAST} or more")
+    return PERIOD << ((depth - PERIOD) // PERIOD).bit_length() - 1
+
+
 #: Suffixes that are sorted together at most, unless one first-8-byte bucket is larger.
 BLOCK = 1 << 20
 
@@ -35,17 +43,17 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover_ranks(text: np.ndarray, eights: np.ndarray) -> np.ndarray:
-    """By position, for positions in the cover: the rank of the next _SPAN bytes. -1 elsewhere."""
+def cover_ranks(text: np.ndarray, eights: np.ndarray, span: int) -> np.ndarray:
+    """By position, for positions in the cover: the rank of the next `span` bytes. -1 elsewhere."""
     n = len(text)
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     last = len(eights) - 1
     words = [eights[np.minimum(at + 8 * i, last)] for i in range(4)]
     words[3] = words[3] >> np.uint64(8)  # 31 bytes
-    rank = np.full(n + _SPAN, -1, dtype=np.int64)
+    rank = np.full(n + span, -1, dtype=np.int64)
     rank[at] = _dense(*words)
     size = PERIOD
-    while size < _SPAN:
+    while size < span:
         rank[at] = _dense(rank[at], rank[at + size])
         size *= 2
     return rank
@@ -58,16 +66,15 @@ def equal_suffixes(text: np.ndarray, starts: np.ndarray, depth: int, block: int
     is sorted at a time: by 31 bytes, then ties by a ternary partition around a pivot, whose
     comparisons look up precomputed ranks of cover positions instead of bytes. For a
     suffix and a pivot some shift under 31 takes both into the cover; two overlapping spans from
-    there and the last 62 bytes settle a tie of any length up to depth. text must go on for depth bytes after each start.
+    there and the last 62 bytes settle a tie of any length up to depth, which is 62 or more. text must go on for depth bytes after each start.
     """
-    if not DEPTH[0] <= depth <= DEPTH[1] - PERIOD:
-        raise ValueError(f"depth must be in {DEPTH[0]}..{DEPTH[1] - PERIOD}")
+    span = span_of(depth)
     padded = np.concatenate([text, np.zeros(depth + 64, dtype=np.uint8)])
     eights = _eights(padded)
-    rank = cover_ranks(padded, eights)
-    second = (depth - _SPAN - PERIOD) // PERIOD * PERIOD  # of the second span, from the first
+    rank = cover_ranks(padded, eights, span)
+    second = (depth - span - PERIOD) // PERIOD * PERIOD  # of the second span, from the first
     tail = depth - 62
-    assert second + _SPAN >= tail and second + _SPAN + PERIOD - 1 <= depth
+    assert 0 <= second <= span and second + span >= tail and second + span + PERIOD - 1 <= depth
     out = np.ones(len(starts), dtype=np.int64)
     first = eights[starts]
     order = np.argsort(first, kind="stable")
