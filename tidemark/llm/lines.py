@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, temp_name
+from .common import discard, durable, temp_name
 
-#: Lines under this many code points are removed only as exact copies.
+#: Default of near_chars: lines under this many code points are removed only as exact copies; 0 is no floor.
 NEAR_CHARS = 16
 _PLACE = ["k", "th", "ln"]
 
@@ -36,7 +36,7 @@ def first_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _candidates(firsts: DataFrame, near_chars: int) -> DataFrame:
     """(k, th, ln, c, side) of lines of which another has the same half: the edit, if there is one, is in the other half."""
     half = lambda c, side, key: F.struct(F.expr(c).alias("c"), F.lit(side).alias("side"), F.col(key).alias("key"))
-    keyed = firsts.where(F.col("n") >= near_chars).select("p", F.explode(F.array(half("n", 0, "a0"), half("n", 1, "a1"), half("n - 1", 0, "b0"), half("n - 1", 1, "b1"))).alias("s")).select("p.*", "s.*")
+    keyed = firsts.where(F.col("n") >= near_chars).select("p", F.explode(F.array(half("n", 0, "a0"), half("n", 1, "a1"), half("n - 1", 0, "b0"), half("n - 1", 1, "b1"))).alias("s")).select("p.*", "s.*").where("c > 0")
     multi = keyed.groupBy("key", "c").count().where("count > 1").select("key", "c")
     return keyed.join(multi, ["key", "c"], "left_semi").select(*_PLACE, "c", "side")
 
@@ -68,10 +68,10 @@ def near_copies(docs: DataFrame, firsts: DataFrame, near_chars: int = NEAR_CHARS
     deletion against the whole middle of those of c. Lines with equal variants are joined
     with the earliest of them only, and the edit distance is verified.
     """
-    mids = durable(_middles(docs, _candidates(firsts, near_chars), id_col, text_col))
+    written = durable(_middles(docs, _candidates(firsts, near_chars), id_col, text_col))
     key = ["k1", "k2", "c", "i"]
-    multi = mids.groupBy(*key).count().where("count > 1").select(*key)
-    mids = mids.join(multi, key, "left_semi").withColumn("size", F.char_length("mid")).where("size > 0")
+    multi = written.groupBy(*key).count().where("count > 1").select(*key)
+    mids = written.join(multi, key, "left_semi").withColumn("size", F.char_length("mid")).where("size > 0")
     without = F.expr("transform(sequence(1, size), j -> struct(IF(plus, 0, j) AS at, xxhash64(left(mid, j - 1), substring(mid, j + 1)) AS v1, concat(left(mid, j - 1), substring(mid, j + 1)) AS v))")
     variants = F.when(F.col("plus"), F.array_distinct(without)).otherwise(F.concat(without, F.expr("array(struct(0 AS at, xxhash64(mid, '') AS v1, mid AS v))")))
     rows = mids.select(*key, *_PLACE, "plus", "mid", F.explode(variants).alias("s")).select(*key, *_PLACE, "plus", "mid", "s.at", F.xxhash64("s.v").alias("v"))
@@ -81,34 +81,47 @@ def near_copies(docs: DataFrame, firsts: DataFrame, near_chars: int = NEAR_CHARS
     other = rows.groupBy(*group).agg(F.min(F.when(~F.col("plus"), me)).alias("same"), F.min(F.when(F.col("plus"), me)).alias("longer"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = rows.join(other, group).withColumn("partner", F.when((F.col("at") == 0) & ~F.col("plus"), F.col("longer")).otherwise(F.col("same")))
     earlier = F.struct(*_PLACE) > F.struct("partner.k", "partner.th", "partner.ln")
-    return durable(met.where("partner is not null").where(earlier).where(F.levenshtein("mid", "partner.mid", 1).between(0, 1)).select(*_PLACE).distinct())
+    out = durable(met.where("partner is not null").where(earlier).where(F.levenshtein("mid", "partner.mid", 1).between(0, 1)).select(*_PLACE).distinct())
+    discard(written)
+    return out
 
 
 def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes each line for which an earlier one, by (id, line number), is equal or within edit distance 1.
 
     Lines end at \\n; blanks at their ends (and a final \\r) don't count in the comparison, and
-    blank lines stay. Lines under near_chars code points are removed only as exact copies. Equal lines
+    blank lines stay. The bound is one edit, no other works. Lines under near_chars code points are removed only as exact copies, for in
+    so short a line one edit often makes another entry or number; 0 compares lines of any length. Equal lines
     are grouped by 128-bit hashes. An earlier line counts whether it stays or not.
 
     Returns all columns of docs with the text replaced by the lines that stay, joined by \\n, and n_lines and
     n_removed (named with trailing _ if docs has such columns). A null text stays null, with 0 lines; an
-    empty one has 1 blank line. Null ids come first. Rows with equal id and text are one document and
-    get the same result. A frequent line is counted map-side and never gathered in a task.
+    empty one has 1 blank line. Null ids come first. Of repeated rows (equal id and text) the first that is read keeps lines, the others are
+    copies and keep only blank ones. A frequent line is counted map-side and never gathered in a task.
     """
+    k, th, lines, keep, uid, first = (temp_name(docs, x) for x in ("k", "th", "lines", "stay", "uid", "first"))
+    columns = docs.columns
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = lambda df: df.withColumn(k, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))).withColumn(th, F.xxhash64(text))
+    repeated = not keyed(docs).groupBy(k, th).count().where("count > 1").isEmpty()
+    if repeated:
+        docs = durable(docs.withColumn(uid, F.monotonically_increasing_id()))  # written, so that numbers are the same in each pass
     firsts = durable(first_places(docs, id_col, text_col).where("n is not null"))
     gone = near_copies(docs, firsts, near_chars, id_col, text_col)
     stay = firsts.select("p.*").join(gone, _PLACE, "left_anti").groupBy("k", "th").agg(F.collect_list("ln").alias("stay"))
-    k, th, lines, keep = (temp_name(docs, x) for x in ("k", "th", "lines", "stay"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.withColumn(k, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))).withColumn(th, F.xxhash64(text))
+    rows = keyed(docs)
+    kept = F.col(keep)
+    if repeated:
+        least = durable(rows.groupBy(k, th).agg(F.min(uid).alias(first), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+        rows = rows.join(least, [k, th], "left")
+        kept = F.when(F.col(first).isNull() | (F.col(uid) == F.col(first)), kept)
     rows = rows.join(stay.select(F.col("k").alias(k), F.col("th").alias(th), F.col("stay").alias(keep)), [k, th], "left").withColumn(lines, F.split(text, "\n"))
     blank = F.expr(f"filter(transform(`{lines}`, (x, i) -> IF(trim(regexp_replace(x, '\\r$', '')) = '', i, NULL)), i -> i IS NOT NULL)")
-    order = F.array_sort(F.concat(F.coalesce(F.col(keep), F.expr("cast(array() as array<int>)")), blank))
+    order = F.array_sort(F.concat(F.coalesce(kept, F.expr("cast(array() as array<int>)")), blank))
     rows = rows.withColumn(keep, order)
     n_lines, n_removed = temp_name(docs, "n_lines"), temp_name(docs, "n_removed")
     new = F.array_join(F.transform(F.col(keep), lambda i: F.element_at(F.col(lines), i + 1)), "\n")
     null = F.col(f"`{text_col}`").isNull()
-    out = [F.when(~null, new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = [F.when(~null, new).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
     size = F.when(null, 0).otherwise(F.size(lines)).cast("long")
     return rows.select(*out, size.alias(n_lines), F.when(null, 0).otherwise(F.size(lines) - F.size(keep)).cast("long").alias(n_removed))
