@@ -33,7 +33,7 @@ A, B, H = '__name__="up",instance="a",job="api"', '__name__="up",instance="b",jo
         ('absent(nope{a="b"})', {'a="b"': 1}), ("absent(up)", {}), ("quantile(0.5, up)", {"": 0.5}), ("-up", {'instance="a",job="api"': -1, 'instance="b",job="api"': 0}), ("2 ^ 3 ^ 2", {"": 512}), ("-2 ^ 2", {"": -4}),
         ('label_replace(up, "x", "$1-y", "instance", "(.*)")', {'__name__="up",instance="a",job="api",x="a-y"': 1, '__name__="up",instance="b",job="api",x="b-y"': 0}), ('label_join(up, "x", "/", "job", "instance")', {'__name__="up",instance="a",job="api",x="api/a"': 1, '__name__="up",instance="b",job="api",x="api/b"': 0}),
         ("scalar(http_requests_total) + 1", {"": 31}), ('count_values("v", up)', {'v="0"': 1, 'v="1"': 1}), ("irate(http_requests_total[1m])", {'job="api"': 10 / 15}), ("deriv(http_requests_total[1m])", {'job="api"': 10 / 15}), ("predict_linear(http_requests_total[1m], 60)", {'job="api"': 70}),
-        ("changes(http_requests_total[1m])", {'job="api"': 3}), ("clamp(http_requests_total, 1, 20)", {'job="api"': 20}), ("round(vector(2.5))", {"": 3}), ("timestamp(up) > bool 0", {'instance="a",job="api"': 1, 'instance="b",job="api"': 1}), ("hour()", {"": 0}), ("stddev(up)", {"": 0.5}), ("sum by (instance) (up) * 2", {'instance="a"': 2, 'instance="b"': 0}),
+        ("changes(http_requests_total[1m])", {'job="api"': 3}), ("mad_over_time(resets_total[1m])", {"": 2}), ("count_over_time(up[31s])", {'instance="a",job="api"': 3, 'instance="b",job="api"': 3}), ("avg_over_time(http_requests_total[1m])", {'job="api"': 15}), ("idelta(resets_total[1m])", {"": 4}), ("increase(resets_total[20s])", {"": 4 * 20 / 15}), ("last_over_time(up[1m])", {A: 1, B: 0}), ("clamp(http_requests_total, 1, 20)", {'job="api"': 20}), ("round(vector(2.5))", {"": 3}), ("timestamp(up) > bool 0", {'instance="a",job="api"': 1, 'instance="b",job="api"': 1}), ("hour()", {"": 0}), ("stddev(up)", {"": 0.5}), ("sum by (instance) (up) * 2", {'instance="a"': 2, 'instance="b"': 0}),
     ],
 )
 def test_instant(metrics, expr, want):

@@ -3,7 +3,9 @@
 A vector is a DataFrame (k, labels, v): k counts the steps of the evaluation grid. A
 whole expression becomes one plan: samples are dealt to the steps that they serve by an
 explode over integers, not by a range join, and every operator is a shuffle by
-(labels, k) with partial aggregation, so series spread over the cluster.
+(labels, k) with partial aggregation, so series spread over the cluster. Functions of the ends of a range (rate, changes,
+last and the like) copy no sample: cumulative columns of a series are looked up at the two ends of each step's window. Sums, means and
+extremes are taken by slices of a range before they are dealt out. One series is one window's key, and so one task's work there.
 """
 
 from __future__ import annotations
@@ -63,14 +65,6 @@ def _key(labels: Column) -> Column:
     return render_labels(labels)
 
 
-def _first(v: Column, t: Column) -> Column:
-    return F.min_by(v, t)
-
-
-def _last(v: Column, t: Column) -> Column:
-    return F.max_by(v, t)
-
-
 class Evaluator:
     def __init__(self, metrics: DataFrame, lookback_ms: int = LOOKBACK_MS):
         self.metrics = metrics
@@ -142,7 +136,43 @@ class Evaluator:
             raise PromQLError("expected a range vector")
         w = Window.partitionBy(*ids).orderBy("t")
         df = df.withColumn("pv", F.lag("v").over(w)).withColumn("pt", F.lag("t").over(w))
-        return self.deal(df, inner, shift, node.range_ms), inner, shift, node.range_ms, fixed
+        return df, inner, shift, node.range_ms, fixed
+
+    @staticmethod
+    def ends(df: DataFrame, g: Grid, shift: int, span: int) -> DataFrame:
+        """(name, text, k, f, l): the first and last sample in each window that has one, with what the series has summed up until each.
+
+        A sample (t, v, pt, pv) also holds its rank and the sums of drops, of falls and of changes. Two marks of a step, at its window's end and
+        start, find the last sample before them in one pass over the series in time order; the first in the window is the one after the latter.
+        """
+        ids = ["name", "text"]
+        w = Window.partitionBy(*ids).orderBy("t")
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        fell = F.col("pv") > F.col("v")
+        total = lambda c: F.sum(F.when(c[0], c[1]).otherwise(0.0)).over(upto)
+        sample = F.struct("t", "v", "pt", "pv", F.row_number().over(w).alias("rank"), total((fell, F.col("pv"))).alias("drops"), total((fell, F.lit(1.0))).alias("falls"), total((F.col("pv") != F.col("v"), F.lit(1.0))).alias("turns"))
+        rows = df.select(*ids, "t", sample.alias("s"))
+        rows = rows.select(*ids, "t", "s", F.lead("s").over(w).alias("next"))
+        begin, step = g.start - shift, F.lit(g.step)
+        k0 = F.greatest(F.ceil((F.min("t") - begin) / step), F.lit(0)).cast("int")
+        k1 = F.least(F.ceil((F.max("t") + span - begin) / step) - 1, F.lit(g.last)).cast("int")
+        series = rows.groupBy(*ids).agg(F.min_by("s", "t").alias("first"), k0.alias("k0"), k1.alias("k1")).where("k0 <= k1")
+        marks = series.select(*ids, "first", F.explode(F.sequence("k0", "k1")).alias("k")).withColumn("end", F.lit(begin) + F.col("k").cast("long") * step)
+        marks = marks.select(*ids, "first", "k", F.explode(F.array(F.struct(F.col("end").alias("t"), F.lit(True).alias("is_end")), F.struct((F.col("end") - span).alias("t"), F.lit(False).alias("is_end")))).alias("m")).select(*ids, "first", "k", "m.*")
+        both = rows.unionByName(marks, allowMissingColumns=True)
+        order = Window.partitionBy(*ids).orderBy("t", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("before", F.last(F.when(F.col("k").isNull(), F.struct("s", "next")), ignorenulls=True).over(order)).where("k is not null")
+        last = F.when(F.col("is_end"), F.col("before.s"))
+        first = F.when(~F.col("is_end"), F.when(F.col("before").isNull(), F.col("first")).otherwise(F.col("before.next")))
+        return both.groupBy(*ids, "k").agg(F.max(first).alias("f"), F.max(last).alias("l")).where("f.rank <= l.rank")
+
+    @staticmethod
+    def slices(df: DataFrame, g: Grid, shift: int, span: int) -> DataFrame:
+        """(name, text, t, n, total, low, high) of slices that no window's end cuts; t is the end of the slice."""
+        begin, width = g.start - shift, math.gcd(g.step, span)
+        t = (F.lit(begin) + F.ceil((F.col("t") - begin) / F.lit(width)) * F.lit(width)).cast("long")
+        v = F.col("v")
+        return df.groupBy("name", "text", t.alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"))
 
     # --- functions over ranges -------------------------------------------------
 
@@ -150,42 +180,43 @@ class Evaluator:
         at = 1 if name == "quantile_over_time" else 0
         node = args[at]
         df, inner, shift, span, fixed = self.ranged(node, g)
-        t, v, n = F.col("t"), F.col("v"), F.count(F.lit(1))
+        t, v, n, by = F.col("t"), F.col("v"), F.count(F.lit(1)), ["name", "text", "k"]
         end = (inner.at(F.col("k")) - shift).cast("double")
-        fixed_param = lambda i: self.constant(args[i])
-        simple = {"sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v), "count": n.cast("double"), "last": _last(v, t), "present": F.first(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v)}
-        dropped = F.when(F.col("pv") > v, F.col("pv")).otherwise(F.lit(0.0))
-        hop = F.when(F.col("pv").isNotNull() & (F.col("pv") > v), 1.0).otherwise(0.0)
-        turn = F.when(F.col("pv").isNotNull() & (F.col("pv") != v), 1.0).otherwise(0.0)
-        if name.endswith("_over_time"):
-            kind = name.removesuffix("_over_time")
-            if kind == "quantile":
-                value = self.quantile(v, fixed_param(0))
-            elif kind == "mad":
-                value = F.median(v)
-            elif kind in simple:
-                value = simple[kind]
-            else:
-                raise PromQLError(f"unknown function {name}")
-            out = df.groupBy("name", "text", "k").agg(value.alias("v"))
+        dealt = lambda rows=df: self.deal(rows, inner, shift, span)
+        ends = lambda: self.ends(df, inner, shift, span)
+        kind = name.removesuffix("_over_time")
+        if kind != name and kind in ("sum", "avg", "min", "max"):
+            value = {"sum": F.sum("total"), "avg": F.sum("total") / F.sum("n"), "min": F.min("low"), "max": F.max("high")}[kind]
+            out = dealt(self.slices(df, inner, shift, span)).groupBy(*by).agg(value.alias("v"))
+        elif kind != name and kind in ("count", "last", "present"):
+            value = {"count": (F.col("l.rank") - F.col("f.rank") + 1).cast("double"), "last": F.col("l.v"), "present": F.lit(1.0)}[kind]
+            out = ends().select(*by, value.alias("v"))
+        elif kind != name and kind in ("stddev", "stdvar", "quantile"):
+            value = {"stddev": F.stddev_pop(v), "stdvar": F.var_pop(v)}[kind] if kind != "quantile" else self.quantile(v, self.constant(args[0]))
+            out = dealt().groupBy(*by).agg(value.alias("v"))
+        elif name == "mad_over_time":
+            rows = dealt()
+            middle = rows.groupBy(*by).agg(F.median(v).alias("middle"))
+            out = rows.join(middle, by).groupBy(*by).agg(F.median(F.abs(v - F.col("middle"))).alias("v"))
         elif name in ("changes", "resets"):
-            flag = turn if name == "changes" else hop
-            out = df.withColumn("f", flag).groupBy("name", "text", "k").agg((F.sum("f") - _first(F.col("f"), t)).alias("v"))
+            c = "turns" if name == "changes" else "falls"
+            out = ends().select(*by, (F.col(f"l.{c}") - F.col(f"f.{c}")).alias("v"))
         elif name in ("irate", "idelta"):
-            out = df.groupBy("name", "text", "k").agg(F.max(F.struct("t", "v", "pt", "pv")).alias("m")).where(F.col("m.pt") > end - span)
-            gap = (F.col("m.t") - F.col("m.pt")) / 1000
-            change = F.col("m.v") - F.col("m.pv")
-            out = out.withColumn("v", change if name == "idelta" else F.when(change < 0, F.col("m.v")).otherwise(change) / gap)
+            out = ends().where(F.col("l.rank") > F.col("f.rank"))
+            gap = (F.col("l.t") - F.col("l.pt")) / 1000
+            change = F.col("l.v") - F.col("l.pv")
+            out = out.select(*by, (change if name == "idelta" else F.when(change < 0, F.col("l.v")).otherwise(change) / gap).alias("v"))
         elif name in ("deriv", "predict_linear"):
             x = (t.cast("double") - end) / 1000
-            out = df.withColumn("x", x).groupBy("name", "text", "k").agg(n.alias("n"), F.regr_slope("v", "x").alias("slope"), F.regr_intercept("v", "x").alias("base")).where("n >= 2")
+            out = dealt().withColumn("x", x).groupBy(*by).agg(n.alias("n"), F.regr_slope("v", "x").alias("slope"), F.regr_intercept("v", "x").alias("base")).where("n >= 2")
             out = out.withColumn("v", F.col("slope") if name == "deriv" else F.col("base") + F.col("slope") * F.lit(self.constant(args[1])))
         elif name in ("rate", "increase", "delta"):
             counter = name != "delta"
-            out = df.withColumn("d", dropped).groupBy("name", "text", "k").agg(n.alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), _first(v, t).alias("v0"), _last(v, t).alias("v1"), (F.sum("d") - _first(F.col("d"), t)).alias("reset")).where("n >= 2")
-            out = out.withColumn("raw", F.col("v1") - F.col("v0") + (F.col("reset") if counter else 0.0))
+            out = ends().where(F.col("l.rank") > F.col("f.rank"))
+            raw = F.col("l.v") - F.col("f.v") + (F.col("l.drops") - F.col("f.drops") if counter else 0.0)
+            out = out.select(*by, raw.alias("raw"), F.col("f.v").alias("v0"), F.col("f.t").alias("t0"), F.col("l.t").alias("t1"), (F.col("l.rank") - F.col("f.rank")).alias("gaps"))
             sampled = (F.col("t1") - F.col("t0")) / 1000
-            mean = sampled / (F.col("n") - 1)
+            mean = sampled / F.col("gaps")
             to_start, to_end = (F.col("t0") - (end - span)) / 1000, (end - F.col("t1")) / 1000
             to_start = F.when(to_start >= mean * 1.1, mean / 2).otherwise(to_start)
             if counter:
