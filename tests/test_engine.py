@@ -59,7 +59,9 @@ def test_logs(spark, line, want):
 def test_other_parsers(spark):
     assert one(spark, parsers.parse_logfmt(F.col("l")), l=r'a=1 b="x \"q\" \n" flag c= d="open rest') == {"a": "1", "b": 'x "q" \n', "flag": "true", "c": "", "d": "open rest"}
     assert one(spark, parsers.parse_regex(F.col("l"), r"(?P<k>\w+)-(?P<v>\d+)"), l="ab-12") == {"k": "ab", "v": "12"}
-    assert one(spark, parsers.parse_regex(F.col("l"), r"(?P<k>\d+)"), l="ab") is None
+    assert one(spark, parsers.parse_regex(F.col("l"), r"(?P<k>\d+)", strict=False), l="ab") is None
+    with pytest.raises(Exception, match="doesn't match"):
+        one(spark, parsers.parse_regex(F.col("l"), r"(?P<k>\d+)"), l="ab")
     path = "/var/log/pods/ns_pod-1_uid/main/0.log"
     assert one(spark, parsers.k8s_path_labels(F.col("p")), p=path) == {"namespace": "ns", "pod": "pod-1", "container": "main"}
     flat = f"/var/log/containers/pod-1_ns_main-{'a' * 64}.log"
@@ -241,8 +243,8 @@ def test_sinks(spark):
     assert one(spark, sinks.ngrams(F.col("c")), c="ABCd") == ["abc", "bcd"] and one(spark, sinks.ngrams(F.col("c")), c="ab") == []
     assert sinks.bloom_size(1000, 0.01) == (9586, 7)
     assert sinks.to_arrow(df).num_rows == 2 and sinks.from_arrow(spark, sinks.to_arrow(df)).count() == 2
-    assert sinks.scrape("x", {"instance": "h:1"}, lambda _: "m 1")[-1] == 'up{instance="h:1"} 1'
-    assert sinks.scrape("x", {"instance": "h:1"}, lambda _: 1 / 0) == ['up{instance="h:1"} 0']
+    assert sinks.scrape("x", lambda _: "m 1") == ["m 1", "up 1"]
+    assert sinks.scrape("x", lambda _: 1 / 0) == ["up 0"]
 
 
 # --- streaming ---------------------------------------------------------------------------------

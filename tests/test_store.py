@@ -1,15 +1,20 @@
 """A tenant's store end to end, and the scraping source."""
 
+import io
 import os
 import shutil
 
+import pyarrow as pa
 import pytest
 
+from tidemark.functions.parsers import parse_scrape
 from tidemark.limits import Admission, Busy
 from tidemark.model import INGEST_NS
 from tidemark.operators.lifecycle import Materialization, Merge
 from tidemark.sources.files import Files
+from tidemark.sources import sinks
 from tidemark.sources.scrape import ScrapeReader, ScrapeSource
+from tidemark.sources.tail import TailReader, register
 from tidemark.store import Store, reconcile, widest
 from tidemark.plans.promql import parse
 
@@ -171,9 +176,71 @@ def test_reconcile(spark):
     assert reconcile(raw, raw, spark.createDataFrame([(2,), (3,)], "count long")) == {"written": True, "summaries": True}
 
 
-def test_scrape_reader():
+def test_scrape_reader(spark):
     r = ScrapeReader({"targets": "http://127.0.0.1:1/metrics", "interval": "15", "labels": "env=x"})
     start = r.initialOffset()
     parts = r.partitions(start, r.latestOffset())
-    assert [next(iter(r.read(p)))[0] for p in parts] == ['up{env="x",instance="127.0.0.1:1"} 0']
+    rows = [next(iter(r.read(p))) for p in parts]
+    assert [x[:3] for x in rows] == [("up 0", "127.0.0.1:1", 'env="x"')]
     assert r.partitions({"round": 5}, {"round": 5}) == [] and ScrapeSource.name() == "scrape"
+    lines = [("# HELP x", "h:1", 'env="x",job="j"', 7), ('m{job="own",a="1"} 2', "h:1", 'env="x",job="j"', 7), ("n 3 99", "h:1", "", 7), ("bad line here", "h:1", "", 7)]
+    out = parse_scrape(spark.createDataFrame(lines, "value string, instance string, labels string, scraped_ms long"))
+    assert sorted(map(tuple, out.collect())) == [("m", 'a="1",env="x",instance="h:1",job="own"', 2.0, 7), ("n", 'instance="h:1"', 3.0, 99)]
+
+
+def test_access(monkeypatch):
+    seen = []
+    monkeypatch.setattr(sinks.urllib.request, "urlopen", lambda req, timeout, context: seen.append((req.headers.get("Authorization"), context)) or io.BytesIO(b"x 1"))
+    assert sinks.fetch("http://h/m", {"token": "t"}) == "x 1" and sinks.scrape("http://h/m") == ["x 1", "up 1"]
+    sinks.fetch("https://h/m", {"user": "u", "password": "p", "insecure": "true"})
+    assert [a for a, _ in seen] == ["Bearer t", None, "Basic dTpw"] and seen[0][1] is None and seen[2][1].verify_mode == 0
+
+
+def test_tail(spark, tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("one\ntwo\nhal")
+    r = TailReader({"path": str(tmp_path / "*.log")})
+    read = lambda a, b: [x[0] for p in r.partitions(a, b) for x in r.read(p)]
+    first = r.latestOffset()
+    assert read(r.initialOffset(), first) == ["one", "two"]
+    with path.open("a") as f:
+        f.write("f\r\n")
+    (tmp_path / "b.log").write_text("other\n")
+    second = r.latestOffset()
+    assert read(first, second) == ["half", "other"] and read(second, second) == []
+    path.write_text("new\n")  # shorter than before
+    assert read(second, r.latestOffset()) == ["new"]
+    assert TailReader({"path": str(tmp_path / "*.log"), "from": "end"}).initialOffset() == r.latestOffset()
+    register(spark)
+    q = spark.readStream.format("tail").option("path", str(tmp_path / "*.log")).load().writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        with path.open("a") as f:
+            f.write("more\n")
+        q.processAllAvailable()
+        assert sorted(x.value for x in spark.table("tailed").collect()) == ["more", "new", "other"]
+    finally:
+        q.stop()
+
+
+def test_windows_of_input(spark, tmp_path):
+    sizes = [[r.value for r in w.collect()] for w in sinks.piped_lines(spark, ["a\n", "bb\r\n", "ccc\n", "d"], most_lines=2)]
+    assert sizes == [["a", "bb"], ["ccc", "d"]]
+    assert [w.count() for w in sinks.piped_lines(spark, ["aaaa\n"] * 5, most_bytes=8)] == [2, 2, 1] and list(sinks.piped_lines(spark, [])) == []
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
+    table = df.toArrow()
+    with pa.OSFile(str(tmp_path / "w.bin"), "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
+        w.write_table(table)
+    with pa.OSFile(str(tmp_path / "w.json"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:  # the name doesn't count
+        w.write_table(table)
+    (tmp_path / "w.parquet").write_text('[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]')
+    (tmp_path / "lines.json").write_text('{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n')
+    df.write.parquet(str(tmp_path / "folder"))
+    for name in ("w.bin", "w.json", "w.parquet", "lines.json", "folder"):
+        assert sorted(map(tuple, sinks.import_window(spark, str(tmp_path / name)).collect())) == [(1, "x"), (2, "y")]
+    (tmp_path / "text").write_text("plain\n")
+    assert [r.value for r in sinks.import_window(spark, str(tmp_path / "text")).collect()] == ["plain"]
+    assert sinks.json_array(df.where("a = 2")).first().value == '[{"a":2,"b":"y"}]' and sinks.json_array(df.limit(0)).first().value == "[]"
+    out = io.StringIO()
+    sinks.console(out, 1)(df.orderBy("a"), 0)
+    assert out.getvalue() == '{"a":1,"b":"x"}\n... 1 more\n'

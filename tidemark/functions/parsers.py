@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import merge_labels, parse_labels, render_labels, set_label
+
 # Keys that hold a record's own time, and those that hold its text, in this order.
 TIME_KEYS = ["timestamp", "time", "ts", "@timestamp", "date", "datetime", "eventtime", "rt"]
 MESSAGE_KEYS = ["message", "msg", "log", "body"]
@@ -36,15 +38,20 @@ def drop_times(row: Column) -> Column:
 # --- single formats -----------------------------------------------------------
 
 
-def parse_json(line: Column) -> Column:
-    """A JSON object's members as text; nested values as JSON; null for anything else."""
-    v = F.try_parse_json(line)
-    return F.when(F.ltrim(line).startswith("{") & v.isNotNull(), F.from_json(line, _MAP))
+def _members(line: Column) -> Column:
+    """A JSON object's members, from one parse of the line; null for anything else."""
+    v = F.when(F.ltrim(line).startswith("{"), F.try_parse_json(line))
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _as_text(v: Column) -> Column:
+    """A member as text: a string without quotes, anything else as JSON; null stays null."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(~F.is_variant_null(v), F.to_json(v))
 
 
-def _json_strings(line: Column) -> Column:
-    """Members of a JSON object that are strings."""
-    return F.map_filter(F.transform_values(F.from_json(line, "map<string,variant>"), lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda _, v: v.isNotNull())
+def parse_json(line: Column) -> Column:
+    """A JSON object's members as text; nested values as JSON; null for anything else."""
+    return F.transform_values(_members(line), lambda _, v: _as_text(v))
 
 
 _LOGFMT = r'([^\s="]+)(?:=(?:"((?:[^"\\]|\\.)*)(?:"|$)|(\S*)))?'
@@ -67,21 +74,22 @@ def parse_logfmt(line: Column) -> Column:
     return F.when(line.isNotNull(), merged)
 
 
-def parse_regex(line: Column, pattern: str) -> Column:
-    """The named groups of a pattern; null for a line that it doesn't match. (?P<n>..) is spelt (?<n>..) for Java."""
+def parse_regex(line: Column, pattern: str, strict: bool = True) -> Column:
+    """The named groups of a pattern. A line that it doesn't match raises; if not strict, it gives null. (?P<n>..) is spelt (?<n>..) for Java."""
     names = re.findall(r"\(\?P?<([A-Za-z_]\w*)>", pattern)
     if not names:
         raise ValueError("the pattern needs a named group")
     order = {n: i for n, i in re.compile(re.sub(r"\(\?<([A-Za-z_])", r"(?P<\1", pattern)).groupindex.items()}
     java = re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", pattern)
-    return F.when(line.rlike(java), _pairs(*[(n, _group(line, java, order[n])) for n in names]))
+    groups = F.when(line.rlike(java), _pairs(*[(n, _group(line, java, order[n])) for n in names]))
+    return groups.when(line.isNotNull(), F.raise_error(F.concat(F.lit("the pattern doesn't match: "), line)).cast(_MAP)) if strict else groups
 
 
 _EXPOSITION = r'^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)\s*(?:\{((?:[^"}]|"(?:[^"\\]|\\.)*")*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$'
 
 
-def parse_exposition(df: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
-    """(__name__, labels, value, timestamp_ms) of exposition text; comments and blank lines are left out, a malformed line raises (or, if not strict, is left out)."""
+def parse_exposition(df: DataFrame, column: str = "value", strict: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(__name__, labels, value, timestamp_ms) of exposition text; comments and blank lines are left out, a malformed line raises (or, if not strict, is left out). Columns in keep stay beside them."""
     line = F.col(column)
     df = df.where(~line.rlike(r"^\s*(#.*)?$"))
     number = _group(line, _EXPOSITION, 3)
@@ -91,7 +99,17 @@ def parse_exposition(df: DataFrame, column: str = "value", strict: bool = True)
         df = df.where(good)
     checked = F.when(good, value).otherwise(F.raise_error(F.concat(F.lit("malformed sample: "), line)).cast("double"))
     stamp = F.coalesce(F.nullif(_group(line, _EXPOSITION, 4), F.lit("")).cast("long"), F.lit(0).cast("long"))
-    return df.select(_group(line, _EXPOSITION, 1).alias("__name__"), F.btrim(_group(line, _EXPOSITION, 2)).alias("labels"), checked.alias("value"), stamp.alias("timestamp_ms"))
+    return df.select(_group(line, _EXPOSITION, 1).alias("__name__"), F.btrim(_group(line, _EXPOSITION, 2)).alias("labels"), checked.alias("value"), stamp.alias("timestamp_ms"), *(keep or []))
+
+
+def parse_scrape(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Scraped lines (value, instance, labels, scraped_ms) as metrics: labels of the target join those of each sample, which win; a sample without a time has that of its round."""
+    own = F.struct(F.col("value").alias("value"), F.col("instance").alias("instance"), F.col("labels").alias("labels"), F.col("scraped_ms").alias("scraped_ms"))
+    parsed = parse_exposition(df.select(F.col("value"), own.alias("target")), "value", strict, ["target"])
+    base = set_label(parse_labels(F.col("target.labels")), "instance", F.col("target.instance"))
+    merged = render_labels(merge_labels(base, parse_labels(F.col("labels"))))
+    at = F.when(F.col("timestamp_ms") == 0, F.col("target.scraped_ms")).otherwise(F.col("timestamp_ms"))
+    return parsed.select("__name__", merged.alias("labels"), "value", at.alias("timestamp_ms"))
 
 
 # --- log formats ----------------------------------------------------------------
@@ -109,10 +127,14 @@ def parse_k8s(line: Column) -> Column:
 
 def parse_json_log(line: Column) -> Column:
     """JSON members without times; message is the first string among the message keys, else the line."""
-    row = parse_json(line)
-    text = _json_strings(line)
-    found = F.coalesce(*[text[k] for k in MESSAGE_KEYS], line)
-    return F.when(row.isNotNull(), F.map_concat(F.map_filter(drop_times(row), lambda k, v: (k != "message") & v.isNotNull()), _pairs(("message", found))))
+    def read(m: Column) -> Column:
+        string = lambda k: F.when(F.schema_of_variant(m[k]) == "STRING", F.try_variant_get(m[k], "$", "string"))
+        found = F.coalesce(*[string(k) for k in MESSAGE_KEYS], line)
+        others = F.map_filter(F.transform_values(drop_times(m), lambda _, v: _as_text(v)), lambda k, v: (k != "message") & v.isNotNull())
+        return F.map_concat(others, _pairs(("message", found)))
+
+    # The members are bound to a name, so that all uses share one parse.
+    return F.get(F.transform(F.array(_members(line)), lambda m: F.when(m.isNotNull(), read(m))), F.lit(0))
 
 
 def parse_syslog(line: Column) -> Column:
@@ -141,6 +163,7 @@ def parse_clf(line: Column) -> Column:
 def parse_cef(line: Column) -> Column:
     """Seven header fields and key=value extensions, whose values go on to the next key."""
     parts = F.split(line, r"(?<!\\)\|", 8)
+    # Names of the header fields, in their order.
     names = ["cef_version", "device_vendor", "device_product", "device_version", "signature_id", "message", "severity"]
     head = [(n, F.get(parts, F.lit(i))) for i, n in enumerate(names)]
     head[0] = (names[0], F.regexp_replace(head[0][1], "^CEF:", ""))

@@ -52,6 +52,26 @@ class Files:
         how[0] = kind.OVERWRITE
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.getFileSystem(self.conf).getUri(), self.conf).rename(p, q, how)
 
+    def is_folder(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).isDirectory()
+
+    def folders(self, path: str) -> list[str]:
+        """Paths right below a folder; none if it isn't there."""
+        fs, p = self._at(path)
+        return sorted(str(x.getPath().toString()).removeprefix("file:") for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def head(self, path: str, n: int) -> bytes:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(self.jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+        finally:
+            stream.close()
+
+    def read_bytes(self, path: str) -> bytes:
+        return self.head(path, self.size(path))
+
     def read_text(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)

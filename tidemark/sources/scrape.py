@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from .sinks import scrape
+from .sinks import fetch, scrape
 
 
 class Target(InputPartition):
@@ -24,6 +24,7 @@ class ScrapeReader(DataSourceStreamReader):
         self.targets = [t for t in options.get("targets", "").split(",") if t]
         self.interval = int(float(options.get("interval", "15")) * 1000)
         self.labels = dict(p.split("=", 1) for p in options.get("labels", "").split(",") if "=" in p)
+        self.access = {k: options[k] for k in ("token", "user", "password", "ca_file", "insecure") if options.get(k)}
 
     def _round(self) -> int:
         return int(time.time() * 1000) // self.interval
@@ -39,20 +40,21 @@ class ScrapeReader(DataSourceStreamReader):
 
     def read(self, partition: Target) -> Iterator[tuple]:
         host = urllib.parse.urlparse(partition.url).netloc or partition.url
-        own = self.labels | {"instance": host}
-        for line in scrape(partition.url, own):
-            yield (line, host, partition.round_ms)
+        own = ",".join(f'{k}="{v}"' for k, v in sorted(self.labels.items()))
+        for line in scrape(partition.url, lambda url: fetch(url, self.access)):
+            yield (line, host, own, partition.round_ms)
 
 
 class ScrapeSource(DataSource):
-    """Options: targets (comma-separated URLs), interval (seconds), labels (k=v, comma-separated)."""
+    """Options: targets (comma-separated URLs), interval (seconds), labels (k=v, comma-separated); for access token or user and password,
+    ca_file, insecure (true: certificates aren't checked). functions.parsers.parse_scrape turns its rows into metrics with the labels of their target."""
 
     @classmethod
     def name(cls) -> str:
         return "scrape"
 
     def schema(self) -> str:
-        return "value string, instance string, scraped_ms bigint"
+        return "value string, instance string, labels string, scraped_ms bigint"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return ScrapeReader(self.options)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import math
+import ssl
+import sys
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files
+
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", block_bytes: int | None = None, bloom: list[str] | None = None, mode: str = "append") -> None:
     """Parquet with a codec (snappy, zstd, gzip or none), a row-group size, and whole-value blooms of columns."""
@@ -66,6 +71,25 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def json_array(df: DataFrame) -> DataFrame:
+    """All rows as one JSON array (`value`), [] for none. Its size is that of the rows, so it is for windows and pages."""
+    return json_rows(df).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+
+
+def console(out=None, most_rows: int = 10_000) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that prints rows as JSON lines to standard output, most_rows of a window at most, and says how many more there are."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        to = out or sys.stdout
+        rows = json_rows(df).limit(most_rows + 1).collect()
+        for r in rows[:most_rows]:
+            print(r.value, file=to)
+        if len(rows) > most_rows:
+            print(f"... {df.count() - most_rows} more", file=to)
+
+    return batch
+
+
 def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     json_rows(df).write.mode(mode).text(path)
 
@@ -84,24 +108,55 @@ def from_arrow(spark: SparkSession, arrow_table) -> DataFrame:
     return spark.createDataFrame(arrow_table)
 
 
-def read_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of files as `value`, whole files or as a stream of new files."""
+def read_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Lines of files as `value`, whole files or as a stream of new files; a window of the stream takes so many files or bytes at most."""
     if not stream:
         return spark.read.text(path)
     r = spark.readStream.format("text")
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", bytes_per_trigger)
     return r.load(path)
 
 
+def piped_lines(spark: SparkSession, source=None, most_lines: int = 10_000, most_bytes: int = 8 << 20) -> Iterator[DataFrame]:
+    """Lines of standard input (or any iterable of text) as windows of so many lines or bytes at most; the last may be smaller."""
+    held, size = [], 0
+    for line in sys.stdin if source is None else source:
+        line = line.rstrip("\n").removesuffix("\r")
+        if held and (len(held) >= most_lines or size + len(line) > most_bytes):
+            yield spark.createDataFrame([(x,) for x in held], "value string")
+            held, size = [], 0
+        held.append(line)
+        size += len(line)
+    if held:
+        yield spark.createDataFrame([(x,) for x in held], "value string")
+
+
+def sniff(head: bytes) -> str:
+    """parquet, arrow (a stream), arrow-file, json or lines, by the first bytes."""
+    if head.startswith(b"PAR1"):
+        return "parquet"
+    if head.startswith(b"ARROW1"):
+        return "arrow-file"
+    if head.startswith(b"\xff\xff\xff\xff"):
+        return "arrow"
+    return "json" if head.lstrip()[:1] in (b"{", b"[") else "lines"
+
+
 def import_window(spark: SparkSession, path: str) -> DataFrame:
-    """A pushed window by its extension: Parquet, Arrow IPC streams, or JSON lines."""
-    if path.endswith(".arrow"):
+    """A pushed window by its content, whatever its name: Parquet, Arrow IPC (stream or file), JSON (lines, or one array), or text lines. A folder is Parquet."""
+    files = Files(spark)
+    kind = "parquet" if files.is_folder(path) else sniff(files.head(path, 64))
+    if kind.startswith("arrow"):
         import pyarrow as pa
 
-        with pa.OSFile(path) as f:
-            return spark.createDataFrame(pa.ipc.open_stream(f).read_all())
-    return spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+        raw = pa.BufferReader(files.read_bytes(path))  # one window of a producer
+        return spark.createDataFrame((pa.ipc.open_file if kind == "arrow-file" else pa.ipc.open_stream)(raw).read_all())
+    if kind == "json":
+        return spark.read.json(path, multiLine=files.head(path, 64).lstrip()[:1] == b"[")
+    return spark.read.parquet(path) if kind == "parquet" else spark.read.text(path)
 
 
 def post(url: str, body: bytes, headers: dict[str, str] | None = None, tries: int = 5, wait_s: float = 0.5, send: Callable | None = None) -> int:
@@ -141,12 +196,25 @@ def http_sink(url: str, most_rows: int = 10_000) -> Callable[[DataFrame, int], N
     return batch
 
 
-def scrape(target: str, labels: dict[str, str], fetch: Callable[[str], str] | None = None) -> list[str]:
-    """Exposition lines of one target with its instance label put in by the caller's parser; up tells whether it answered."""
-    fetch = fetch or (lambda url: urllib.request.urlopen(url, timeout=10).read().decode())
-    own = ",".join(f'{k}="{v}"' for k, v in sorted(labels.items()))
+def fetch(url: str, access: dict[str, str] | None = None) -> str:
+    """The text at a URL, with a bearer token or a user and password, over TLS with a CA of one's own or unchecked."""
+    access = access or {}
+    headers = {"Accept": "text/plain"}
+    if "token" in access:
+        headers["Authorization"] = f"Bearer {access['token']}"
+    elif "user" in access:
+        headers["Authorization"] = "Basic " + base64.b64encode(f"{access['user']}:{access.get('password', '')}".encode()).decode()
+    tls = None
+    if url.startswith("https"):
+        tls = ssl.create_default_context(cafile=access.get("ca_file"))
+        if access.get("insecure", "").lower() == "true":
+            tls.check_hostname, tls.verify_mode = False, ssl.CERT_NONE
+    return urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=10, context=tls).read().decode()
+
+
+def scrape(target: str, get: Callable[[str], str] = fetch) -> list[str]:
+    """Exposition lines of one target, and up, which tells whether it answered. A target that is down is a measurement."""
     try:
-        lines = fetch(target).splitlines()
-        return [*lines, f"up{{{own}}} 1"]
-    except Exception:  # a target that is down is a measurement
-        return [f"up{{{own}}} 0"]
+        return [*get(target).splitlines(), "up 1"]
+    except Exception:
+        return ["up 0"]
