@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import drop, parse_labels, render_labels, set_label
 from ..plans.promql import query_range
+from ..plans.promql.evaluate import LOOKBACK_MS
 from ..plans.promql.parse import duration_ms
 
 
@@ -66,15 +69,57 @@ def _islands(df: DataFrame, start_ms: int, end_ms: int, step_ms: int, for_ms: in
     return steps.select("key", "t", "active_at", state.alias("state")).join(df.select("key", "t", "value"), ["key", "t"], "left")
 
 
-def evaluate(metrics: DataFrame, rule: Rule, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
-    """(alert labels, t, active_at, state, value) at each evaluation: pending, firing or resolved; a run that never fired ends without a word."""
-    v = query_range(metrics, rule.expr, start_ms, end_ms, step_ms)
-    labels = drop(parse_labels(F.col("metric")), ["__name__"])
-    for k, x in rule.labels.items():
-        labels = set_label(labels, k, F.lit(x))
+def number_text(v: Column) -> Column:
+    """A number as templates write it: whole ones without a point."""
+    return F.when((F.abs(v) < 1e15) & (v == F.floor(v)), F.floor(v).cast("string")).otherwise(v.cast("string"))
+
+
+def expand_column(template: str, labels: Column, value: Column) -> Column:
+    """expand() over columns; an unknown label is empty, any other {{ .. }} gives <template error> as a whole."""
+    parts = re.split(r"(\{\{.*?\}\})", template)
+    out = []
+    for p in parts:
+        m = re.fullmatch(r"\{\{\s*(?:\$labels\.([A-Za-z_]\w*)|(\$value))\s*\}\}", p)
+        if m:
+            out.append(F.coalesce(labels[m[1]], F.lit("")) if m[1] else F.coalesce(number_text(value), F.lit("")))
+        elif p.startswith("{{"):
+            return F.lit("<template error>")
+        elif p:
+            out.append(F.lit(p))
+    return F.concat(*out) if out else F.lit("")
+
+
+def evaluate(metrics: DataFrame, rule: Rule, start_ms: int, end_ms: int, step_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
+    """(alert labels, t, active_at, state, value, annotations) at each evaluation: pending, firing or resolved; a run that never fired ends without a word.
+
+    Labels and annotations of the rule may hold {{ $value }} and {{ $labels.name }}; annotations are label text. A label with $value would
+    make an alert of each value, so only annotations are filled in at each evaluation, and labels where the series' own labels allow it. A scalar
+    result is one series without labels.
+    """
+    v = query_range(metrics, rule.expr, start_ms, end_ms, step_ms, lookback_ms)
+    own = drop(parse_labels(F.col("metric")), ["__name__"])
+    labels = own
+    for k, x in sorted(rule.labels.items()):
+        labels = set_label(labels, k, expand_column(x, own, F.col("value")))
     labels = set_label(labels, "alertname", F.lit(rule.alert))
     df = v.select(render_labels(labels).alias("key"), "t", "value")
-    return _islands(df, start_ms, end_ms, step_ms, rule.for_ms, rule.keep_firing_ms).select(F.col("key").alias("labels"), "t", "active_at", "state", "value")
+    out = _islands(df, start_ms, end_ms, step_ms, rule.for_ms, rule.keep_firing_ms).select(F.col("key").alias("labels"), "t", "active_at", "state", "value")
+    own = parse_labels(F.col("labels"))
+    notes = [F.struct(F.lit(k).alias("key"), expand_column(x, own, F.col("value")).alias("value")) for k, x in sorted(rule.annotations.items())]
+    return out.withColumn("annotations", render_labels(F.map_from_entries(F.array(*notes))) if notes else F.lit(""))
+
+
+def evaluate_all(rules: list[Rule], run: Callable[[Rule], DataFrame], previous: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """States of each rule by its name, and what failed. A rule whose query fails keeps its states of before, so that nothing resolves by a failure."""
+    states, failed = dict(previous or {}), {}
+    for r in rules:
+        try:
+            got = run(r)
+            got.schema  # analysis errors show here
+            states[r.alert] = got
+        except (ValueError, PySparkException) as e:
+            failed[r.alert] = str(e).splitlines()[0]
+    return states, failed
 
 
 def resends(states: DataFrame, delay_ms: int) -> DataFrame:

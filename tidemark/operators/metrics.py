@@ -59,6 +59,11 @@ def count_and_sum(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value_sum"))
 
 
+def by_name(df: DataFrame) -> DataFrame:
+    """avg, min, max and count of each name."""
+    return df.groupBy("__name__").agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("count"))
+
+
 def structured_rows(df: DataFrame) -> DataFrame:
     """Rows as the structured answer writes them: null text is empty, a null value 0."""
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if t == "string" else F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) if t in ("double", "bigint") else F.col(c) for c, t in df.dtypes])

@@ -456,7 +456,8 @@ class Evaluator:
             if name == "absent":
                 df = self.vector(arg, g).df
             else:
-                df, _, _, _, fixed = self.ranged(arg, g)
+                df, inner, shift, span, fixed = self.ranged(arg, g)
+                df = self.deal(df, inner, shift, span)
                 df = self.spread(df.select("k").distinct(), g) if fixed is not None else df
             fixed_labels = {label: value for label, op, value in getattr(arg, "matchers", []) if op == "=" and label != _NAME}
             labels = F.create_map(*[F.lit(x) for kv in fixed_labels.items() for x in kv]) if fixed_labels else F.expr("cast(map() as map<string,string>)")

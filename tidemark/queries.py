@@ -103,7 +103,7 @@ def metrics_count_sum(spark, d):
 
 @_register(f"""WITH {_METRICS} SELECT name AS metric, round(avg(value), 9) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM metrics GROUP BY name""")
 def metrics_by_name(spark, d):
-    return _metrics(spark, d).groupBy(F.col("__name__").alias("metric")).agg(F.round(F.avg("value"), 9).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count(F.lit(1)).alias("n"))
+    return metrics.by_name(_metrics(spark, d)).select(F.col("__name__").alias("metric"), F.round("avg", 9).alias("avg_value"), F.col("min").alias("min_value"), F.col("max").alias("max_value"), F.col("count").alias("n"))
 
 
 @_register(f"""WITH {_METRICS} SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS min_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS max_ts FROM metrics""")
@@ -469,15 +469,29 @@ def prom_histogram_quantile(spark, d):
 # --- alerts ------------------------------------------------------------------------------------
 
 
-@_register(_inst(3_600_000) + f""", c AS (SELECT s, count(*) AS v FROM inst WHERE name = 'click' GROUP BY s HAVING count(*) > 0.03 * (SELECT count(DISTINCT user_id) FROM events)), isl AS (SELECT s, v, s - {HOUR} * row_number() OVER (ORDER BY s) AS g FROM c), runs AS (SELECT g, min(s) AS a, max(s) AS b FROM isl GROUP BY g)
-SELECT s AS t, a AS active_at, CASE WHEN s - a >= {2 * HOUR} THEN 'firing' ELSE 'pending' END AS state FROM isl JOIN runs USING (g) UNION ALL SELECT b + {HOUR}, a, 'resolved' FROM runs WHERE b - a >= {2 * HOUR} AND b + {HOUR} <= {T1}""")
+_ALERTS = _inst(HOUR) + f""", c AS (SELECT s, count(*) AS v FROM inst WHERE name = 'click' GROUP BY s HAVING count(*) > 4), isl AS (SELECT s, v, s - {HOUR} * row_number() OVER (ORDER BY s) AS g FROM c), runs AS (SELECT g, min(s) AS a, max(s) AS b FROM isl GROUP BY g),
+states AS (SELECT s AS t, a AS active_at, CASE WHEN s - a >= {2 * HOUR} THEN 'firing' ELSE 'pending' END AS state, v FROM isl JOIN runs USING (g) UNION ALL SELECT b + {HOUR}, a, 'resolved', NULL FROM runs WHERE b - a >= {2 * HOUR} AND b + {HOUR} <= {T1})"""
+
+
+def _alerts(spark, d):
+    rules = alerts.load_rules({"groups": [{"rules": [{"record": "x", "expr": "y"}, {"alert": "Busy", "expr": "count(click) > 4", "for": "2h", "labels": {"severity": "page"}, "annotations": {"text": "{{ $value }} users, {{ $labels.severity }}"}}]}]})
+    return alerts.evaluate(_metrics(spark, d), rules[0], T0, T1, HOUR, HOUR)
+
+
+@_register(_ALERTS + """ SELECT 'alertname="Busy",severity="page"' AS labels, t, active_at, state, CAST(v AS DOUBLE) AS value, 'text="' || coalesce(CAST(v AS VARCHAR), '') || ' users, page"' AS annotations FROM states""")
 def alert_states(spark, d):
-    users = table(spark, d, "events").agg(F.count_distinct("user_id")).first()[0]
-    rule = alerts.Rule("Busy", f"count(click) > {0.03 * users}", for_ms=2 * HOUR)
-    m = _metrics(spark, d)
-    v = promql.query_range(m, rule.expr, T0, T1, HOUR, HOUR)
-    out = alerts._islands(v.select(F.lit('alertname="Busy"').alias("key"), "t", "value"), T0, T1, HOUR, rule.for_ms, 0)
-    return out.select("t", "active_at", "state")
+    return _alerts(spark, d)
+
+
+@_register(_ALERTS + f""", nth AS (SELECT *, row_number() OVER (PARTITION BY active_at, state ORDER BY t) - 1 AS n FROM states WHERE state <> 'pending') SELECT t, active_at, state FROM nth WHERE n % 3 = 0""")
+def alert_resends(spark, d):
+    return alerts.resends(_alerts(spark, d), 2 * HOUR).select("t", "active_at", "state")
+
+
+@_register(_ALERTS + """, sent AS (SELECT t + 30000 + CAST(ceil(greatest(0, 0) / 300000) AS BIGINT) AS x, t, state FROM states WHERE state <> 'pending'), f AS (SELECT 'severity="page"' AS group_key, min(t) OVER () AS first, t, state FROM sent), due AS (SELECT group_key, CAST(first + 30000 + ceil(greatest(t - first - 30000, 0) / 300000) * 300000 AS BIGINT) AS flush, state FROM f) SELECT DISTINCT group_key, flush, state FROM due""")
+def alert_groups(spark, d):
+    out = alerts.group(_alerts(spark, d), ["severity"], repeat_ms=1)  # each flush is due
+    return out.select("group_key", "flush", F.explode("alerts").alias("a")).select("group_key", "flush", "a.state").distinct()
 
 
 # --- lifecycle and sinks ---------------------------------------------------------------------

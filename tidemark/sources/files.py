@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_own_folder: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
+
+    Without that setting a folder of this process is used in local mode, and gone at its end; on a cluster that is an error, for
+    no local folder is seen by all executors.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp("-tables"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return "file://" + _own_folder[0]
+
 
 def join(*parts: str) -> str:
     """A path below the first part, which may have a scheme."""
