@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,20 +36,47 @@ def _hex(one: Column, two: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(one), 16, "0"), F.lpad(F.hex(two), 16, "0")))
 
 
+def _blocks(ids: DataFrame, k: Column, quantiles: int) -> Column:
+    """A number that rises with k, of which one holds about BLOCK rows: k is cut at quantiles, and each part into equal widths.
+
+    So ids may be as uneven as they like from part to part; the cuts are at most `quantiles` numbers in an expression.
+    """
+    shares = [F.lit(i / quantiles) for i in range(1, quantiles)]
+    low, high, n, cuts = ids.agg(F.min(k), F.max(k), F.count(k), F.approx_percentile(k, F.array(*shares), F.lit(100 * quantiles))).first()
+    if not n:
+        return F.lit(0).cast("long")
+    edges = sorted({low, *(cuts or []), high + 1})
+    many = max(1, math.ceil(n / BLOCK / (len(edges) - 1)))  # blocks of a part
+
+    def part(i: int, j: int) -> Column:
+        if j - i > 1:
+            middle = (i + j) // 2
+            return F.when(k < F.lit(Decimal(edges[middle])), part(i, middle)).otherwise(part(middle, j))
+        width = max(1, -(-(edges[i + 1] - edges[i]) // many))
+        return F.lit(i * many).cast("long") + F.floor((k.cast("decimal(38,0)") - F.lit(Decimal(edges[i]))) / F.lit(Decimal(width))).cast("long")
+
+    return part(0, len(edges) - 1)
+
+
 def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, block, nth, next): next is the text of the next row by (id, text hash), after the last of the first.
 
     Rows go to blocks of consecutive ids, each text once; a block's last row gets the first
     text of the next block that isn't empty, so 1 text in BLOCK moves a second time.
     """
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    low, high, n = src.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    low = 0 if low is None else low
-    width = max(1, math.ceil(((high or 0) - low + 1) / max(n, 1) * BLOCK))
-    # Null ids are a block of their own, before all others.
-    block = F.coalesce(F.floor((F.col("id").cast("decimal(38,0)") - low) / width).cast("long"), F.lit(-1).cast("long"))
-    rows = src.withColumn("block", block)
-    in_block = Window.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("k", F.col("id").try_cast("long"))
+    ids = src.select("id", "k")
+    for quantiles in (64, 1024):
+        block = _blocks(ids, F.col("k"), quantiles)
+        most = ids.where("k is not null").groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
+        if (most or 0) <= 32 * BLOCK:
+            break
+    # Rows without an id come before all others, by the hash of their text.
+    nulls = math.ceil(ids.where("k is null").count() / BLOCK)
+    share = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
+    of_null = F.least(F.floor(share * nulls), F.lit(nulls - 1)).cast("long") - nulls
+    rows = src.withColumn("block", F.when(F.col("k").isNull(), of_null).otherwise(block)).select("id", "text", "block", "k")
+    in_block = Window.partitionBy("block").orderBy(F.col("k").asc_nulls_first(), F.xxhash64("text"))
     rows_ = rows.repartition("block").select("id", "text", "block", F.row_number().over(in_block).alias("nth"), F.lead("text").over(in_block).alias("next"))
     # The block before each: within sections, then over the sections, of which there is one for 262,144 rows.
     blocks = rows.select("block").distinct().withColumn("section", F.floor(F.col("block") / SECTION))
@@ -73,8 +101,8 @@ def edit_and_fingerprint(docs: DataFrame, bits: int = 128, id_col: str = "doc_id
     are equal exactly if canonical texts are. As the digest is exact, a likeness is 1 or 0.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. A null text counts as empty. Null ids come first; rows with one id are ordered by
-    a hash of their text and each gets a row. A single row is its own next. An empty table gives no rows.
+    near_next. A null text counts as empty. Ids are whole numbers; null ids, and others that are none, come first; rows with one id are ordered by
+    a hash of their text and each gets a row (they stay in one block, the only group that can't be cut). A single row is its own next. An empty table gives no rows. Other columns are ignored.
     """
     rows = _with_next(docs, id_col, text_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
