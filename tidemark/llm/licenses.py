@@ -1,4 +1,4 @@
-"""License notices: exact phrases, and a set-similarity join of lines with templates."""
+"""License notices: exact phrases, and a set-similarity join of text blocks with templates."""
 
 from __future__ import annotations
 
@@ -32,7 +32,13 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without prior written permission"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
+    "bsd-conditions": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "apache-notice": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"],
+    "gpl-notice": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
 }
+#: A run of lines is a block of a template if it has no more words than this many times the template's distinct ones.
+SPREAD = 2
 SCHEMA = "{id} {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -70,6 +76,11 @@ class Index:
                 self.prefix.setdefault(h, []).append((t, place))
         self.prefixes = np.array(sorted(self.prefix), dtype=np.uint64)
 
+    def share(self, t: int, words: set[int]) -> float:
+        """The part of template t's words that are among words, 0 if it is under the threshold."""
+        common = sum(x in words for x in self.words[t])
+        return common / len(self.words[t]) if common >= self.need[t] else 0.0
+
     def match(self, line: set[int], known: list[int]) -> dict[int, float]:
         """known: the line's words that are in the vocabulary, in the global order. Gives containment by template."""
         out: dict[int, float] = {}
@@ -88,6 +99,21 @@ class Index:
         return out
 
 
+def runs_around(x: int, number: np.ndarray, start: np.ndarray, of: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """For each start the longest run (from, to) of two and more lines that follow each other, holds line x and has at most `most` words."""
+    follows = lambda i: i + 1 < len(number) and number[i + 1] == number[i] + 1 and of[i + 1] == of[i]
+    lo = x
+    while start[x + 1] - start[lo] <= most:
+        hi = x
+        while follows(hi) and start[hi + 2] - start[lo] <= most:
+            hi += 1
+        if hi > lo:
+            yield lo, hi
+        if not lo or not follows(lo - 1):
+            return
+        lo -= 1
+
+
 def _scan(index: Index, phrases: dict[str, str], schema: pa.Schema):
     wanted = [(np.array([hash_word(w) for w in p.split()], dtype=np.uint64), label, p.encode().split()) for p, label in phrases.items()]
 
@@ -116,16 +142,21 @@ def _scan(index: Index, phrases: dict[str, str], schema: pa.Schema):
                     score[d] = 1.0
         if len(h) and len(index.prefixes):
             breaks = np.flatnonzero((w.buf == 10) | (w.buf == 0))
-            line = np.searchsorted(breaks, w.start)
+            number, start = np.unique(np.searchsorted(breaks, w.start), return_index=True)  # lines with words
+            of, start = doc[start], np.append(start, len(h))
             at = np.minimum(np.searchsorted(index.prefixes, h), len(index.prefixes) - 1)
-            for x in np.unique(line[index.prefixes[at] == h]):
-                a, b = np.searchsorted(line, [x, x + 1])
+            for x in np.unique(np.searchsorted(start, np.flatnonzero(index.prefixes[at] == h), "right") - 1).tolist():
+                a, b, d = start[x], start[x + 1], of[x]
                 words = set(h[a:b].tolist())
                 known = sorted((v for v in words if v in index.rank), key=index.rank.__getitem__)
-                for t, c in index.match(words, known).items():
-                    d = doc[a]
-                    own[d].add(index.labels[t])
-                    score[d] = max(score[d], c)
+                found = index.match(words, known)
+                for t in {t for v in known for t, _ in index.prefix.get(v, ())}:
+                    for lo, hi in runs_around(x, number, start, of, SPREAD * len(index.words[t])):
+                        found[t] = max(found.get(t, 0.0), index.share(t, set(h[start[lo] : start[hi + 1]].tolist())))
+                for t, c in found.items():
+                    if c > 0:
+                        own[d].add(index.labels[t])
+                        score[d] = max(score[d], c)
         join = lambda s: ",".join(sorted(s))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, n.tolist(), n_base, first, last, [join(s) for s in base], [join(s | o) for s, o in zip(base, own)], score], schema)], schema=schema)
 
@@ -138,15 +169,18 @@ def _scan(index: Index, phrases: dict[str, str], schema: pa.Schema):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labels each text with the phrases it holds and the templates that a line of it meets.
+    """Labels each text with the phrases it holds and the templates that a block of it meets.
 
-    A line meets a template if it holds at least threshold of the template's distinct
+    A block is a line, or, for notices that are wrapped over lines, a run of lines that follow each other without a line that has no words, with
+    at most SPREAD times as many words as the template has distinct ones (longer runs would hold a template's words by chance). Marks of
+    comments aren't words. A block meets a template if it holds at least threshold of the template's distinct
     words. Two passes: the first counts the templates' words over all texts (a total
     for each word of the templates, so its size has a bound); the second orders words by these
     counts, rarest first, and compares a line with a template only if they share a
     word of the template's prefix (prefix filter), the line has enough words (length
-    filter), and enough words are left after the first common one (positional filter).
-    The filters lose nothing, so every line that meets the threshold is found.
+    filter), and enough words are left after the first common one (positional filter). A run is compared if one of its lines has a word of the prefix,
+    and only the longest run from each line, for it holds what shorter ones hold.
+    The filters lose nothing, so every block that meets the threshold is found.
 
     Returns id, n_words, n_base (all places of phrases), first_word, last_word,
     base_labels, labels, score (largest containment found; 1 with a phrase; else 0). Null

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import Words
-from .licenses import PHRASES, TEMPLATES
+from .licenses import PHRASES, SPREAD, TEMPLATES
 from .lines import NEAR_CHARS
 
 VECTORS = """
@@ -47,13 +47,19 @@ def licenses() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hits = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM w, unnest(range(1, len(words) - {len(p.split()) - 2})) AS t(i) WHERE words[i:i + {len(p.split()) - 1}] = {_list(p.split())}" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {_list(sorted(set(_words(t))))})" for label, ts in TEMPLATES.items() for t in ts)
+    templates = ", ".join(f"('{label}', {_list(sorted(set(_words(t))))}, {n})" for n, (label, t) in enumerate((label, t) for label, ts in TEMPLATES.items() for t in ts))
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS words FROM documents),
 hits AS ({hits}),
 lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({lower}, chr(10))), '{word}')) AS s FROM documents),
-tpl AS (SELECT * FROM (VALUES {templates}) t(label, s)),
-own AS (SELECT doc_id, label, len(list_intersect(lines.s, tpl.s)) / len(tpl.s) AS c FROM lines, tpl WHERE len(lines.s) > 0 AND len(list_intersect(lines.s, tpl.s)) >= 0.8 * len(tpl.s) - 1e-9),
+tpl AS (SELECT * FROM (VALUES {templates}) t(label, s, tid)),
+numbered AS (SELECT doc_id, no, regexp_extract_all(line, '{word}') AS ws FROM (SELECT doc_id, unnest(string_split({lower}, chr(10))) AS line, generate_subscripts(string_split({lower}, chr(10)), 1) AS no FROM documents)),
+ranked AS (SELECT doc_id, no, ws, row_number() OVER w AS r, sum(len(ws)) OVER w AS upto FROM numbered WHERE len(ws) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+common AS (SELECT DISTINCT doc_id, r, tid, word FROM (SELECT doc_id, r, unnest(ws) AS word FROM ranked) JOIN (SELECT tid, unnest(s) AS word FROM tpl) USING (word)),
+ends AS (SELECT DISTINCT c.doc_id, c.tid, c.r, no, upto, len(ws) AS n FROM common c JOIN ranked k ON c.doc_id = k.doc_id AND c.r = k.r),
+runs AS (SELECT a.doc_id, a.tid, a.r AS lo, b.r AS hi FROM ends a JOIN ends b ON a.doc_id = b.doc_id AND a.tid = b.tid AND b.r > a.r AND b.r <= a.r + 200 AND b.no - a.no = b.r - a.r JOIN tpl ON tpl.tid = a.tid WHERE b.upto - a.upto + a.n <= {SPREAD} * len(tpl.s)),
+wide AS (SELECT runs.doc_id, runs.tid, lo, hi, count(DISTINCT word) AS c FROM runs JOIN common ON common.doc_id = runs.doc_id AND common.tid = runs.tid AND common.r BETWEEN lo AND hi GROUP BY ALL),
+own AS (SELECT wide.doc_id, tpl.label, c / len(tpl.s) AS c FROM wide JOIN tpl ON tpl.tid = wide.tid WHERE c >= 0.8 * len(tpl.s) - 1e-9 UNION ALL SELECT doc_id, label, len(list_intersect(lines.s, tpl.s)) / len(tpl.s) AS c FROM lines, tpl WHERE len(lines.s) > 0 AND len(list_intersect(lines.s, tpl.s)) >= 0.8 * len(tpl.s) - 1e-9),
 h AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list(DISTINCT label)) AS labels FROM hits GROUP BY doc_id),
 o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM own GROUP BY doc_id)
 SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(h.labels, ','), '') AS base_labels,
