@@ -147,6 +147,23 @@ def test_fingerprints_odd(odd, spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_fingerprints_uneven_ids(spark):
+    """One outlier, or ids in far clumps: no block holds more than a few times its share, and next texts are right."""
+    clumps = [10**14 * c + i for c in range(5) for i in range(400)]
+    for ids in ([*range(1000), 10**15], clumps, [-(2**63), 2**63 - 1, *range(500)], list(range(0, 3000, 3))):
+        df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+        rows = fingerprints._with_next(df, "doc_id", "text").collect()
+        order = sorted(ids)
+        after = dict(zip(order, [*order[1:], order[0]]))
+        assert {r.id: r.next for r in rows} == {i: f"text {after[i]}" for i in ids}
+        assert max(collections.Counter(r.block for r in rows).values()) <= 4 * fingerprints.BLOCK
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(1000)] + [(5, "x")], "doc_id long, text string")
+    rows = fingerprints._with_next(df, "doc_id", "text").collect()
+    assert max(collections.Counter(r.block for r in rows).values()) <= 4 * fingerprints.BLOCK and len({r.next for r in rows}) == 1001
+    df = spark.createDataFrame([("a", "x"), ("7", "y"), ("b", "z")], "doc_id string, text string")
+    assert {r.next for r in fingerprints._with_next(df, "doc_id", "text").collect()} == {"x", "y", "z"}
+
+
 # --- 3 ----------------------------------------------------------------------
 
 
@@ -687,31 +704,67 @@ def test_similarity():
 
 # --- 10 ---------------------------------------------------------------------
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-@both()
-def test_licenses(name, request):
-    docs = request.getfixturevalue(name)
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+def brute_licenses(rows):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
-    sets = [(label, set(word.findall(lower(t)))) for label, ts in licenses.TEMPLATES.items() for t in ts]
-    got = collections.Counter(tuple(r) for r in licenses.scan_licenses(docs).collect())
+    sets = [(label, set(WORD.findall(lower(t)))) for label, ts in licenses.TEMPLATES.items() for t in ts]
     want = collections.Counter()
-    for i, t in pairs(docs):
-        w = word.findall(lower(t or ""))
+    for i, t in rows:
+        w = WORD.findall(lower(t or ""))
         hits = [(a, label) for p, label in licenses.PHRASES.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
         found = {}
-        for line in re.split("[\n\0]", lower(t or "")):
-            s = set(word.findall(line))
-            for label, tpl in sets:
-                c = len(s & tpl) / len(tpl)
-                if c >= 0.8 - 1e-9:
-                    found[label] = max(found.get(label, 0), c)
+        lines = [WORD.findall(x) for x in re.split("[\n\0]", lower(t or ""))]
+        for label, tpl in sets:
+            for a in range(len(lines)):
+                held, n = set(), 0
+                for b in range(a, len(lines)):
+                    n += len(lines[b])
+                    if not lines[b] or (b > a and n > 2 * len(tpl)):
+                        break
+                    held |= set(lines[b])
+                    c = len(held & tpl) / len(tpl)
+                    if c >= 0.8 - 1e-9:
+                        found[label] = max(found.get(label, 0), c)
         base = {label for _, label in hits}
         want[(i, len(w), len(hits), min((a for a, _ in hits), default=None), max((a for a, _ in hits), default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), 1.0 if hits else max(found.values(), default=0.0))] += 1
-    assert got == want
+    return want
+
+
+@both()
+def test_licenses(name, request):
+    docs = request.getfixturevalue(name)
+    assert collections.Counter(tuple(r) for r in licenses.scan_licenses(docs).collect()) == brute_licenses(pairs(docs))
     assert licenses.scan_licenses(empty(docs)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices wrapped over lines of comments, with words lost, beside blank lines and in the middle of other text."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for label, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            w = t.split()
+            for width in (3, 8, 12):
+                for lost in (0, 0.1, 0.3):
+                    keep = [x for x in w if rng.random() >= lost]
+                    out = ["# " + " ".join(keep[i : i + width]) for i in range(0, len(keep), width)]
+                    blank = ["#"] if rng.random() < 0.3 else []
+                    at = len(out) // 2
+                    rows.append((len(rows), "\n".join(["some code before the notice", *out[:at], *blank, *out[at:], "and code after it"])))
+    rows.append((len(rows), "the of\nany to\n" * 200))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in licenses.scan_licenses(df).collect())
+    assert got == brute_licenses(rows)
+    assert {"bsd-conditions", "mit", "apache-notice", "gpl-notice"} <= {x for r in got for x in r[6].split(",")}
+
+
+def test_licenses_clash(spark):
+    df = spark.createDataFrame([(1, "MIT License", "a", "b", "c"), (1, "MIT License", "a", "b", "c")], "doc_id long, text string, id string, labels string, score string")
+    assert [r.labels for r in licenses.scan_licenses(df).collect()] == ["mit", "mit"]
+
+
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert os.path.isdir(SMALL)
