@@ -65,19 +65,63 @@ def _bucket(width: str, ts: str) -> str:
     return f"window({ts}, '{seconds} seconds', '{seconds} seconds', '{ORIGIN % seconds} seconds').start"
 
 
+#: The codes of strftime as letters of a date pattern.
+_STRFTIME = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "g": "SSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD"}
+#: Functions that differ by name only.
+_NAMES = {"list_contains": "array_contains", "list_distinct": "array_distinct", "list_value": "array", "list_concat": "concat", "list_position": "array_position", "list_reverse": "reverse", "arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "list_has_any": "arrays_overlap", "strlen": "octet_length", "string_agg": "listagg"}
+_UNITS = {"second", "minute", "hour", "day", "week", "month", "quarter", "year"}
+
+
+def _strftime(ts: str, form: str) -> str:
+    m = re.fullmatch(r"'((?:[^']|'')*)'", form.strip())
+    if not m:
+        raise SQLError("strftime needs a literal format")
+    out, at = "", 0
+    for code in re.finditer(r"%(.)", m[1]):
+        plain = m[1][at : code.start()]
+        out += re.sub(r"[A-Za-z]+", lambda w: f"''{w[0]}''", plain)
+        if code[1] == "%":
+            out += "%"
+        elif code[1] in _STRFTIME:
+            out += _STRFTIME[code[1]]
+        else:
+            raise SQLError(f"strftime code %{code[1]} isn't known")
+        at = code.end()
+    out += re.sub(r"[A-Za-z]+", lambda w: f"''{w[0]}''", m[1][at:])
+    return f"date_format({ts}, '{out}')"
+
+
+def _date_diff(unit: str, start: str, end: str) -> str:
+    """The number of boundaries of a unit between two times."""
+    name = unit.strip().strip("'").lower().rstrip("s")
+    if name not in _UNITS:
+        raise SQLError(f"bad unit {unit}")
+    return f"timestampdiff({name.upper()}, date_trunc('{name}', {start}), date_trunc('{name}', {end}))"
+
+
 def translate(sql: str) -> str:
     """Spellings of the store's dialect in Spark SQL."""
 
     def words(part: str) -> str:
         part = re.sub(r"\bEXCLUDE\b\s*\(", "EXCEPT (", part, flags=re.I)
+        part = re.sub(r"\bVARCHAR\b(?!\s*\()", "STRING", part, flags=re.I)
         return part.replace("//", " div ")
 
     text = _outside_literals(sql, words)
     text = _call(text, "epoch_ms", lambda a: f"unix_millis(cast({a} as timestamp))")
+    text = _call(text, "epoch_us", lambda a: f"unix_micros(cast({a} as timestamp))")
+    text = _call(text, "epoch", lambda a: f"(unix_micros(cast({a} as timestamp)) / 1000000D)")
     text = _call(text, "make_timestamp", lambda a: f"timestamp_micros({a})")
     text = _call(text, "regexp_full_match", lambda a, p: f"regexp_like({a}, concat('^(?:', {p}, ')$'))")
     text = _call(text, "regexp_matches", lambda a, p: f"regexp_like({a}, {p})")
+    text = _call(text, "string_split", lambda a, p: f"split({a}, concat('\\\\Q', {p}, '\\\\E'))")
+    text = _call(text, "list_sort", lambda a: f"sort_array({a})")
+    text = _call(text, "quantile_disc", lambda a, q: f"percentile_disc({q}) WITHIN GROUP (ORDER BY {a})")
+    text = _call(text, "strftime", _strftime)
+    text = _call(text, "date_diff", _date_diff)
     text = _call(text, "time_bucket", _bucket)
+    for name, own in _NAMES.items():
+        text = _call(text, name, lambda *args, own=own: f"{own}({', '.join(args)})")
     return _qualify(text)
 
 
