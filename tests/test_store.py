@@ -7,7 +7,7 @@ import shutil
 import pyarrow as pa
 import pytest
 
-from tidemark.functions.parsers import parse_scrape
+from tidemark.functions.parsers import parse_exposition, parse_scrape
 from tidemark.limits import Admission, Busy
 from tidemark.model import INGEST_NS
 from tidemark.operators.lifecycle import Materialization, Merge
@@ -15,7 +15,7 @@ from tidemark.sources.files import Files
 from tidemark.sources import sinks
 from tidemark.sources.scrape import ScrapeReader, ScrapeSource
 from tidemark.sources.tail import TailReader, register
-from tidemark.store import Store, reconcile, widest
+from tidemark.store import Store, exposition, reconcile, widest
 from tidemark.plans.promql import parse
 
 T = 1_704_067_200.0
@@ -70,7 +70,7 @@ def folders(root):
 
 def known(s):
     st = s.state
-    rows = [*st["metrics"], *st["hot"], *([st["snapshot"]] if st["snapshot"] else []), *(r for p in (st["logs"], st["landing"], st["rollups"], st["materialized"]) for x in p.values() for r in x)]
+    rows = [*st["metrics"], *st["hot"], *([st["snapshot"]] if st["snapshot"] else []), *(r for p in (st["logs"], st["landing"], st["rollups"], st["materialized"], st["buffered"]) for x in p.values() for r in x)]
     return {r["path"] for r in rows} | set(st["retired"]) | ({st["index"]} if st["index"] else set())
 
 
@@ -166,6 +166,46 @@ def test_sql_page(spark, tmp_path):
         s.sql_page("SELECT 1")
 
 
+def test_buffered_logs(spark, tmp_path):
+    now = [T]
+    s = Store(spark, str(tmp_path), "acme", clock=lambda: now[0])
+    one = spark.createDataFrame([("a",)], "message string")
+    two = spark.createDataFrame([("b", "json")], "message string, format string")
+    assert s.buffer_logs("logs-raw", one, most_rows=3) is None and s.buffer_logs("logs-raw", one.limit(0), most_rows=3) is None
+    assert s.buffer_logs("logs-raw", two, most_rows=3) is None
+    path = s.buffer_logs("logs-raw", one, most_rows=3)
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == [("a", None), ("a", None), ("b", "json")] and len(s.state["landing"]["logs-raw"]) == 1
+    assert s.buffer_logs("logs-raw", one) is None
+    now[0] += 31
+    assert s.buffer_logs("logs-raw", one) and s.flush_logs("logs-raw") is None
+    assert folders(tmp_path) <= known(s)
+
+
+def test_rebuild(spark, tmp_path):
+    now = [T]
+    s = Store(spark, str(tmp_path / "hot"), "acme", clock=lambda: now[0], cold_root=str(tmp_path / "cold"))
+    for i in range(3):
+        now[0] = T + i * 10
+        s.ingest_metrics(spark.createDataFrame([("up", "", float(i), 0)], SCHEMA))
+        s.roll()
+    s.compact(queue=[Merge(tuple(s.segments(s.state["metrics"][:2])), 1)])
+    s.land_logs("logs-raw", spark.createDataFrame([("x",)], "message string"))
+    now[0] += 86_400
+    s.refresh("logs-raw")
+    s.promote()
+    s.purge(0)
+    before = sorted((r["tier"], r["path"], r["min_ts"], r["max_ts"]) for r in s.state["metrics"])
+    with pytest.raises(ValueError):
+        s.rebuild()
+    os.remove(s.catalog)
+    again = Store(spark, str(tmp_path / "hot"), "acme", clock=lambda: now[0], cold_root=str(tmp_path / "cold"))
+    assert again.metrics().count() == 0 and again.rebuild() == 3
+    assert sorted((r["tier"], r["path"], r["min_ts"], r["max_ts"]) for r in again.state["metrics"]) == before and again.metrics().count() == 3 and again.logs().count() == 1
+    text = spark.createDataFrame([(x,) for x in exposition(again.stats(), "acme")], "value string")
+    got = {(r["__name__"], r.labels): r.value for r in parse_exposition(text).collect()}
+    assert got["tidemark_segments", 'plane="metrics",tenant="acme"'] == 2 and got["tidemark_queries_total", 'result="admitted",tenant="acme"'] == 0
+
+
 def test_widest():
     assert widest(parse("rate(x[1h] offset 10m)")) == 300_000 + 3_600_000 + 600_000
     assert widest(parse("max_over_time(rate(x[5m])[1h:1m]) + y")) == 300_000 + 300_000 + 3_600_000

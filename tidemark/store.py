@@ -43,7 +43,7 @@ class Store:
             os.makedirs(self.root.removeprefix("file://"), exist_ok=True)
             confined(root.removeprefix("file://"), self.root.removeprefix("file://"))
         self.catalog = join(self.root, "catalog.json")
-        self.state = {"generation": 0, "metrics": [], "hot": [], "snapshot": None, "logs": {}, "landing": {}, "rollups": {}, "materialized": {}, "retired": {}, "index": None}
+        self.state = {"generation": 0, "metrics": [], "hot": [], "snapshot": None, "logs": {}, "landing": {}, "rollups": {}, "materialized": {}, "retired": {}, "buffered": {}, "index": None}
         if self.files.exists(self.catalog):
             self.state |= json.loads(self.files.read_text(self.catalog))
 
@@ -101,6 +101,35 @@ class Store:
         self.commit()
         return path
 
+    def buffer_logs(self, artifact: str, window: DataFrame, most_rows: int = 100_000, most_bytes: int = 64 << 20, age_ms: int = 30_000) -> str | None:
+        """Keeps small windows until they have so many rows or bytes together, or the first is so old; then they land as one, by name.
+
+        Gives the path of what landed. Buffered windows are in the catalog, so a restart loses none; flush_logs() lands them at once.
+        """
+        path = self.folder("logs", check_artifact(artifact), "buffer")
+        rows = Observation()
+        window.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        if not rows.get["n"]:
+            self.files.delete(path)
+        else:
+            held = self.state["buffered"].setdefault(artifact, [])
+            held.append(asdict(Segment(-1, path, self.files.size(path), self.now_ms(), self.now_ms(), schema=window.schema.json())) | {"rows": rows.get["n"]})
+            self.commit()
+        held = self.state["buffered"].get(artifact, [])
+        full = sum(r["rows"] for r in held) >= most_rows or sum(r["bytes"] for r in held) >= most_bytes or (held and self.now_ms() - held[0]["min_ts"] >= age_ms)
+        return self.flush_logs(artifact) if full else None
+
+    def flush_logs(self, artifact: str) -> str | None:
+        held = self.state["buffered"].get(artifact, [])
+        if not held:
+            return None
+        segs = self.segments([{k: v for k, v in r.items() if k != "rows"} for r in held])
+        path = self.land_logs(artifact, read_logs(self.spark, segs))
+        self.state["buffered"][artifact] = []
+        self.retire(s.path for s in segs)
+        self.commit()
+        return path
+
     def snapshot(self) -> None:
         """Hot rows in time order as one file set that queries read instead of them."""
         hot = self.segments(self.state["hot"])
@@ -130,6 +159,27 @@ class Store:
         self.commit()
         return s
 
+    def rebuild(self) -> int:
+        """Lists the tiers' folders anew, hot and cold, for a catalog that was lost: bounds come from the files. Gives the number of segments.
+
+        Sources that a merge retired but purge() hadn't deleted yet come back with their merged rows, so this is for an empty catalog only.
+        """
+        if self.state["metrics"] or self.state["logs"]:
+            raise ValueError("the catalog isn't empty")
+        for root in filter(None, (self.root, self.cold)):
+            for path in self.files.folders(join(root, "metrics", "tiers") if root == self.root else join(root, "metrics")):
+                for p in self.files.folders(path):
+                    self.state["metrics"].append(asdict(stat(self.spark, p, int(path.rsplit("L", 1)[-1]), self.files.size(p))))
+            for artifact in self.files.folders(join(root, "logs")):
+                for path in self.files.folders(join(artifact, "tiers") if root == self.root else artifact):
+                    for p in self.files.folders(path):
+                        df = self.spark.read.parquet(p)
+                        low, high = df.agg(F.min(INGEST_NS), F.max(INGEST_NS)).first()
+                        seg = Segment(int(path.rsplit("L", 1)[-1]), p, self.files.size(p), (low or 0) // 1_000_000, (high or 0) // 1_000_000, schema=df.schema.json())
+                        self.state["logs"].setdefault(artifact.rsplit("/", 1)[-1], []).append(asdict(seg))
+        self.commit()
+        return len(self.state["metrics"]) + sum(map(len, self.state["logs"].values()))
+
     # --- background work -------------------------------------------------------
 
     def compact(self, queue: list[Merge] | None = None, policies: list[Callable[[], Merge | None]] | None = None, catch_up: Callable[[], Merge | None] = lambda: None, materializations: list[Materialization] | None = None, **options) -> Segment | None:
@@ -343,6 +393,15 @@ class Store:
         return {"generation": self.state["generation"], "metrics": count(self.state["metrics"]), "tiers": bytes_on_disk(self.segments(self.state["metrics"])), "hot": count(self.state["hot"]), "logs": {a: count(r) for a, r in self.state["logs"].items()}, "landing": {a: count(r) for a, r in self.state["landing"].items()}, "queries": dict(self.admission.counts)}
 
 
+def exposition(stats: dict, tenant: str) -> list[str]:
+    """A store's stats as exposition lines, for a scrape of the store itself."""
+    out = [f'tidemark_catalog_generation{{tenant="{tenant}"}} {stats["generation"]}']
+    planes = {"metrics": stats["metrics"], "hot": stats["hot"], **{f"logs/{a}": s for a, s in stats["logs"].items()}, **{f"landing/{a}": s for a, s in stats["landing"].items()}}
+    for kind in ("segments", "bytes"):
+        out += [f'tidemark_{kind}{{plane="{p}",tenant="{tenant}"}} {s[kind]}' for p, s in sorted(planes.items())]
+    return out + [f'tidemark_queries_total{{result="{k}",tenant="{tenant}"}} {n}' for k, n in sorted(stats["queries"].items())]
+
+
 def widest(node, lookback: int = 300_000) -> int:
     """Milliseconds before a step that an expression may read: ranges, subqueries and offsets along the longest path."""
     own = getattr(node, "range_ms", None) or 0
