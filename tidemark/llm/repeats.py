@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, mix, powers, rows_of, temp_name
+from .common import discard, durable, mix, powers, rows_of, small_batches, temp_name
 from .suffixes import equal_suffixes
 
 #: Bytes of the samples that anchor a string, of text that is searched at once, and of contexts that are sorted at once.
-GRAM, CHUNK, SORT_BYTES = 40, 1 << 19, 2_000_000
-#: Different contexts of one sample beyond which their strings are grouped by 128-bit hashes instead of being sorted in one task.
-MANY = 256
+GRAM, CHUNK, SORT_BYTES = 40, 1 << 18, 2_000_000
+#: Different contexts that are sorted in one task; a larger group is dealt by slices of its offsets, first wide, then narrow ones.
+MANY, SLICES = 256, (40, 8, 1)
+#: Contexts of a text, by and large.
+CONTEXTS = 20
 _BASE = 0xD1342543DE82EF95
 _POS = np.uint64((1 << 20) - 1)
 
@@ -115,32 +117,43 @@ def _cut_out(length: int):
                 t = _raw(text)
                 for w in want:
                     s, e = w["s"], w["e"]
-                    rows.append((w["g"], w["c1"], w["c2"], w["p"] - s, t[s : e + length]))
+                    rows.append((w["g"], w["c1"], w["c2"], 0, w["p"] - s, t[s : e + length]))
                     size += e + length - s
                     if size > 4_000_000:
-                        yield _batch(rows, ["g", "c1", "c2", "at", "bytes"])
+                        yield _batch(rows, _PIECE)
                         rows, size = [], 0
             if rows:
-                yield _batch(rows, ["g", "c1", "c2", "at", "bytes"])
+                yield _batch(rows, _PIECE)
 
     return run
 
 
-def _each_string(length: int):
-    """(c1, c2, x, h): a 128-bit hash of each string of the wanted contexts; x: its start in the context."""
+_PIECE = ["g", "c1", "c2", "shift", "at", "bytes"]
+
+
+def _slice(length: int, width: int):
+    """Pieces cut to those strings whose offset from the sample is in one slice of `width`.
+
+    Such strings share length - width + 1 bytes, so a hash of these deals them into groups that part no equal strings. Of
+    width 1 a group is one string.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, wants in rows_of(batches, "text", "want"):
+        for g, c1, c2, shift, at, pieces in rows_of(batches, *_PIECE):
             rows: list[tuple] = []
-            for text, want in zip(texts, wants):
-                t = _raw(text)
-                for w in want:
-                    rows += [(w["c1"], w["c2"], a - w["s"], xxhash.xxh3_128_digest(t[a : a + length])) for a in range(w["s"], w["e"] + 1)]
-                    if len(rows) > 50_000:
-                        yield _batch(rows, ["c1", "c2", "x", "h"])
-                        rows = []
+            for i, t in enumerate(pieces):
+                p, e = at[i], len(t) - length
+                for lo in range((p - e) // width * width, p + 1, width):
+                    a, b = max(0, p - lo - width + 1), min(e, p - lo)
+                    core = t[p - lo : p + length - lo - width + 1]
+                    part = t[a : b + length]
+                    h = xxhash.xxh3_128_intdigest(part)
+                    rows.append((_half(xxhash.xxh3_64_intdigest(core, seed=lo & 0xFFFFFFFF) ^ g[i]), c1[i], c2[i], shift[i] + a, p - a, part, _half(h), _half(h >> 64)))
+                if len(rows) > 10_000:
+                    yield _batch(rows, [*_PIECE, "h1", "h2"])
+                    rows = []
             if rows:
-                yield _batch(rows, ["c1", "c2", "x", "h"])
+                yield _batch(rows, [*_PIECE, "h1", "h2"])
 
     return run
 
@@ -182,43 +195,68 @@ def _sort(length: int):
                 base += len(s)
                 step = np.diff(hit)
                 for a, b in zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist()):
-                    out.append((r["c1"], r["c2"], a, b))
+                    out.append((r["c1"], r["c2"], r["shift"] + a, r["shift"] + b))
             if out:
                 yield _batch(out, ["c1", "c2", "x", "y"])
 
     return run
 
 
+def _sorted(pieces: DataFrame, length: int, rows: int) -> DataFrame:
+    return durable(pieces.select(*_PIECE).repartition("g").sortWithinPartitions("g", "c1", "c2", "shift").mapInArrow(_sort(length), "c1 long, c2 long, x long, y long"), rows)
+
+
+def _in_slices(pieces: DataFrame, length: int, rows: int) -> DataFrame:
+    """(c1, c2, x, y) of strings that stand more than once in pieces of large groups.
+
+    Level by level: pieces are cut to slices, equal slices are counted map-side and are repeated as a whole, and one of each goes on. Groups that
+    are small now are sorted; the others are cut to narrower slices, at last to single strings.
+    """
+    out, written = None, []
+    for width in SLICES:
+        cut = durable(pieces.mapInArrow(_slice(length, width), "g long, c1 long, c2 long, shift long, at long, bytes binary, h1 long, h2 long"), rows)
+        one = durable(cut.groupBy("g", "h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("c1", "c2", "shift", "at", "bytes")).alias("p")).select("g", "h1", "h2", "m", "p.*"), rows)
+        twice = one.where("m > 1").select("g", "h1", "h2")
+        whole = cut.join(twice, ["g", "h1", "h2"], "left_semi").select("c1", "c2", F.col("shift").alias("x"), (F.col("shift") + F.octet_length("bytes") - length).cast("long").alias("y"))
+        groups = durable(one.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), rows)
+        part = _sorted(one.join(groups.where(F.col("n") <= MANY), "g"), length, rows)
+        whole = durable(whole, rows)
+        out = whole.union(part) if out is None else out.union(whole).union(part)
+        written += [cut, groups]
+        pieces = one.join(groups.where(F.col("n") > MANY), "g").select(*_PIECE)
+        if groups.where(F.col("n") > MANY).isEmpty():
+            break
+    discard(*written)
+    return out
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, th, spans): for each text with strings of `length` bytes that also start elsewhere, the starts (from, to) of these."""
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") >= length)
+    src = small_batches(docs).select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") >= length)
+    n = docs.count()
     # Rows with one id and text are copies of each other: all of them is repeated.
-    again = durable(src.groupBy("k", "th").agg(F.count(F.lit(1)).alias("m"), F.max(F.octet_length("text")).alias("n")).where("m > 1").select("k", "th", F.lit(0).cast("long").alias("from"), (F.col("n") - length).cast("long").alias("to")))
+    again = durable(src.groupBy("k", "th").agg(F.count(F.lit(1)).alias("m"), F.max(F.octet_length("text")).alias("n")).where("m > 1").select("k", "th", F.lit(0).cast("long").alias("from"), (F.col("n") - length).cast("long").alias("to")), n)
     if not again.isEmpty():
         src = src.dropDuplicates(["k", "th"])
     found = src.mapInArrow(_find(length), ", ".join(f"{n} long" for n in _NAMES))
     place = F.xxhash64("k", "th", "p", "s")
     # Tables that a join meets are written first, so that each join has two plain shuffles and adaptive execution can split a hot key.
-    seen = durable(found.select("g", place.alias("o")).groupBy("g").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("g"))
-    found = durable(found.join(seen, "g", "left_semi"))
+    seen = durable(found.select("g", place.alias("o")).groupBy("g").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("g"), CONTEXTS * n)
+    found = durable(found.join(seen, "g", "left_semi"), CONTEXTS * n)
     discard(seen)
-    by_context = durable(found.groupBy("g", "c1", "c2").agg((F.min(place) != F.max(place)).alias("twice"), F.first(F.struct("k", "th", "s", "e", "p")).alias("loc")))
+    by_context = durable(found.groupBy("g", "c1", "c2").agg((F.min(place) != F.max(place)).alias("twice"), F.first(F.struct("k", "th", "s", "e", "p")).alias("loc")), CONTEXTS * n)
     # A context that stands twice is all repeated; one that stands once is compared with the others of its sample.
-    mixed = durable(by_context.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bool_and("twice").alias("all")).where("n > 1 and not all").select("g", (F.col("n") > MANY).alias("many")))
+    mixed = durable(by_context.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bool_and("twice").alias("all")).where("n > 1 and not all").select("g", (F.col("n") > MANY).alias("many")), n)
     wanted = by_context.join(mixed, "g").select("loc.k", "loc.th", "many", F.struct("g", "c1", "c2", "loc.s", "loc.e", "loc.p").alias("w"))
-    texts = durable(src.join(wanted.groupBy("k", "th", "many").agg(F.collect_list("w").alias("want")), ["k", "th"]).select("text", "want", "many"))
+    texts = durable(src.join(wanted.groupBy("k", "th", "many").agg(F.collect_list("w").alias("want")), ["k", "th"]).select("text", "want", "many"), CONTEXTS * n)
     discard(mixed)
-    sorted_ = texts.where("not many").select("text", "want").mapInArrow(_cut_out(length), "g long, c1 long, c2 long, at long, bytes binary")
-    partial = durable(sorted_.repartition("g").sortWithinPartitions("g", "c1", "c2").mapInArrow(_sort(length), "c1 long, c2 long, x long, y long"))
+    pieces = lambda many: texts.where(F.col("many") == many).select("text", "want").mapInArrow(_cut_out(length), "g long, c1 long, c2 long, shift long, at long, bytes binary")
+    partial = _sorted(pieces(False), length, CONTEXTS * n)
     if not texts.where("many").isEmpty():
-        strings = durable(texts.where("many").select("text", "want").mapInArrow(_each_string(length), "c1 long, c2 long, x long, h binary"))
-        spot = F.xxhash64("c1", "c2", "x")
-        twice = durable(strings.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h"))
-        partial = partial.union(durable(strings.join(twice, "h", "left_semi").select("c1", "c2", "x", F.col("x").alias("y"))))
-        discard(strings, twice)
+        partial = partial.union(_in_slices(pieces(True), length, CONTEXTS * n))
     whole = found.join(by_context.where("twice").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("k", "th", F.col("s").alias("from"), F.col("e").alias("to"))
     part = found.join(partial, ["c1", "c2"]).select("k", "th", (F.col("s") + F.col("x")).alias("from"), (F.col("s") + F.col("y")).alias("to"))
-    spans = durable(whole.unionByName(part).unionByName(again).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    spans = durable(whole.unionByName(part).unionByName(again).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans")), n)
     discard(found, by_context, texts)
     return spans
 
@@ -263,8 +301,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     A string is anchored by the least of its 40-byte samples, which equal strings share. Only strings whose
     sample stands twice go on. Runs of strings with one anchor are a context; one that stands twice
     is repeated as a whole, any other is compared with those of its sample by blockwise
-    suffix sorting (equal_suffixes). A sample with more than MANY different contexts would be one hot group of a task: there each
-    string is hashed to 128 bits and grouped, map-side first. Matches never cross texts and are judged on the input.
+    suffix sorting (equal_suffixes). A sample with more than MANY different contexts would be one hot group of a task: these are
+    cut into slices, of which equal ones are counted map-side, until groups are small. Matches never cross texts and are judged on the input.
 
     Returns the columns of docs with the remaining text (bytes of a character cut in two are dropped); a null text stays null.
     Repeated rows (equal id and text) are copies of each other, so all of each goes. Null ids are one id. Texts under `length` bytes are unchanged. length is 62 or more.
