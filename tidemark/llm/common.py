@@ -2,58 +2,59 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import Files, scratch_folder
+
 #: Bytes of text that are tokenised at once; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
+#: Bytes of an Arrow batch that become Python objects at once.
+PIECE_BYTES = 4 << 20
+#: Bytes of a row group of intermediate tables, which a task holds while it writes.
+ROW_GROUP = 8 << 20
+#: Rows of an intermediate table of ids for which a file of its own pays, and files that are always allowed.
+FILE_ROWS, LEAST_FILES = 50_000, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_folder: list[str] = []
+#: While a table is written its shuffle files go with the job.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sets the session to Arrow batches of 1,000 rows where it still has Spark's default of 10,000, which is too many whole texts at once for a worker's memory."""
+    conf = df.sparkSession.conf
+    if conf.get(_RECORDS, "10000") == "10000":
+        conf.set(_RECORDS, "1000")
+    return df
 
-    Without that setting a folder of this process is used in local mode, and gone at its end; on a cluster that is an error, for
-    no local folder is seen by all executors.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp("-tables"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return "file://" + _own_folder[0]
-
-
-def durable(df: DataFrame) -> DataFrame:
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it again.
 
-    The shuffle files behind it are deleted as soon as it is written, for nothing reads them any more.
+    The shuffle files behind it are deleted as soon as it is written, for nothing reads them any more. rows: about how many there are at
+    most, where they are small; then no more tasks write than one for each FILE_ROWS, so that many shuffle partitions don't make many tiny files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(LEAST_FILES + rows // FILE_ROWS)
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out
@@ -64,8 +65,7 @@ def discard(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_table", None)
         if path:
-            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            Files(t.sparkSession).delete(path)
 
 
 def temp_name(df: DataFrame, base: str) -> str:
@@ -176,7 +176,9 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def rows_of(batches: Iterable, *names: str) -> Iterator[list[list]]:
-    """Python lists of the named columns, one set for each Arrow batch."""
+    """Python lists of the named columns, for pieces of Arrow batches of about PIECE_BYTES, so that a batch of long texts isn't copied as a whole."""
     for b in batches:
-        if b.num_rows:
-            yield [b.column(x).to_pylist() for x in names]
+        step = max(1, b.num_rows * PIECE_BYTES // max(b.nbytes, 1))
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            yield [part.column(x).to_pylist() for x in names]

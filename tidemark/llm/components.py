@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 from .common import discard, durable
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, component) for the ends of edges (a, b): the smallest id that can be reached. Ids are of any type with an order.
 
     Each round takes the smallest label of the neighbours and then the label of that
     label, and ends in a table on shared storage, for which that of the round before goes; rounds stop when no label changes. Nothing is
     collected but whether a label changed. Null ends are ignored. The centre of a star is a hot key of joins only, one side of
-    which has one row for it, so adaptive execution can split it; minima are taken map-side first.
+    which has one row for it, so adaptive execution can split it; minima are taken map-side first. rows: as for durable().
     """
     both = edges.select("a", "b").where("a <> b")
-    both = durable(both.union(both.select(F.col("b"), F.col("a"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"), F.lit(True).alias("changed")))
+    both = durable(both.union(both.select(F.col("b"), F.col("a"))).distinct(), rows)
+    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"), F.lit(True).alias("changed")), rows)
     while not labels.where("changed").isEmpty():
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = hooked.join(jump, "label", "left").select("id", "old", F.least("label", "up").alias("label"))
-        new = durable(new.select("id", "label", (F.col("label") != F.col("old")).alias("changed")))
+        new = durable(new.select("id", "label", (F.col("label") != F.col("old")).alias("changed")), rows)
         discard(labels)
         labels = new
     discard(both)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, roots, runs
-from .common import durable
+from .common import durable, small_batches
 
 #: Vectors of one bucket that are compared in one block.
 BLOCK = 1024
@@ -166,7 +166,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, width: float = 2.0,
     v = F.col(f"`{vector_col}`") if element in ("array<float>", "array<double>") else F.col(f"`{vector_col}`").cast("array<double>")
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     fine = F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(F.exists(v, bad), F.lit(True)) & F.exists(v, lambda c: c != 0)
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(fine, v).alias("v"))
+    rows = small_batches(vectors).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(fine, v).alias("v"))
     classes = durable(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     n = classes.count()
     k, tables = plan(n, threshold, width, miss=miss)

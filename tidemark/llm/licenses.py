@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, hash_word, rows_of
+from .common import Words, by_bytes, hash_word, rows_of, small_batches
 
 # The phrases and labels that any scan reports.
 PHRASES = {
@@ -187,7 +187,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     and empty texts have no words, no labels, null places and score 0. Repeated rows
     each get a row; ids may be null. Other columns are ignored. An empty table gives no rows.
     """
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    src = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sets = template_sets(templates)
     vocabulary = np.array(sorted({h for _, s in sets for h in s}), dtype=np.uint64)
     frequency: dict[int, int] = {}

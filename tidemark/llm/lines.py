@@ -9,6 +9,8 @@ from .common import discard, durable, temp_name
 
 #: Default of near_chars: lines under this many code points are removed only as exact copies; 0 is no floor.
 NEAR_CHARS = 16
+#: Lines of a text, by and large.
+LINES = 20
 _PLACE = ["k", "th", "ln"]
 
 
@@ -58,7 +60,7 @@ def _middles(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str)
     return rows.select(*_PLACE, "c", "i", (F.col("n") > F.col("c")).alias("plus"), F.xxhash64(F.lit(1), "c", "i", head, tail).alias("k1"), F.xxhash64(F.lit(2), "c", "i", head, tail).alias("k2"), F.expr("substring(line, from + 1, n - from - rest)").alias("mid")).distinct()
 
 
-def near_copies(docs: DataFrame, firsts: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, firsts: DataFrame, n: int | None = None, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, th, ln) of first places of lines with an earlier line at edit distance 1.
 
     Candidates are lines that share a half with another line, and then all but a
@@ -68,7 +70,7 @@ def near_copies(docs: DataFrame, firsts: DataFrame, near_chars: int = NEAR_CHARS
     deletion against the whole middle of those of c. Lines with equal variants are joined
     with the earliest of them only, and the edit distance is verified.
     """
-    written = durable(_middles(docs, _candidates(firsts, near_chars), id_col, text_col))
+    written = durable(_middles(docs, _candidates(firsts, near_chars), id_col, text_col), n)
     key = ["k1", "k2", "c", "i"]
     multi = written.groupBy(*key).count().where("count > 1").select(*key)
     mids = written.join(multi, key, "left_semi").withColumn("size", F.char_length("mid")).where("size > 0")
@@ -81,7 +83,7 @@ def near_copies(docs: DataFrame, firsts: DataFrame, near_chars: int = NEAR_CHARS
     other = rows.groupBy(*group).agg(F.min(F.when(~F.col("plus"), me)).alias("same"), F.min(F.when(F.col("plus"), me)).alias("longer"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = rows.join(other, group).withColumn("partner", F.when((F.col("at") == 0) & ~F.col("plus"), F.col("longer")).otherwise(F.col("same")))
     earlier = F.struct(*_PLACE) > F.struct("partner.k", "partner.th", "partner.ln")
-    out = durable(met.where("partner is not null").where(earlier).where(F.levenshtein("mid", "partner.mid", 1).between(0, 1)).select(*_PLACE).distinct())
+    out = durable(met.where("partner is not null").where(earlier).where(F.levenshtein("mid", "partner.mid", 1).between(0, 1)).select(*_PLACE).distinct(), n)
     discard(written)
     return out
 
@@ -106,8 +108,9 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "do
     repeated = not keyed(docs).groupBy(k, th).count().where("count > 1").isEmpty()
     if repeated:
         docs = durable(docs.withColumn(uid, F.monotonically_increasing_id()))  # written, so that numbers are the same in each pass
-    firsts = durable(first_places(docs, id_col, text_col).where("n is not null"))
-    gone = near_copies(docs, firsts, near_chars, id_col, text_col)
+    n = LINES * docs.count()
+    firsts = durable(first_places(docs, id_col, text_col).where("n is not null"), n)
+    gone = near_copies(docs, firsts, n, near_chars, id_col, text_col)
     stay = firsts.select("p.*").join(gone, _PLACE, "left_anti").groupBy("k", "th").agg(F.collect_list("ln").alias("stay"))
     rows = keyed(docs)
     kept = F.col(keep)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, discard, durable, mix, rows_of, shingles, temp_name
+from .common import Words, by_bytes, discard, durable, mix, rows_of, shingles, small_batches, temp_name
 from .components import components, runs
 
 #: Words of a k-mer, ordered samples (tables), k-mers in a sample, tables of the first pass.
@@ -198,9 +198,9 @@ def _unit(r: pa.Table, threshold: float) -> Iterator[tuple[bytes, bytes]]:
 _UNIT_COLUMNS = ["t", "key", "u", "side", "tried", "label", "d", "n", "keys", "text"]
 
 
-def _compare(rows: DataFrame, threshold: float) -> DataFrame:
+def _compare(rows: DataFrame, threshold: float, n: int) -> DataFrame:
     rows = rows.select(*_UNIT_COLUMNS).repartition("t", "key", "u").sortWithinPartitions("t", "key", "u", "n", "d")
-    return durable(rows.mapInArrow(_links(threshold), "a binary, b binary").distinct())
+    return durable(rows.mapInArrow(_links(threshold), "a binary, b binary").distinct(), n)
 
 
 def _mixed_units(near: DataFrame, classes: DataFrame, unit: int) -> DataFrame:
@@ -231,30 +231,31 @@ def _mixed_units(near: DataFrame, classes: DataFrame, unit: int) -> DataFrame:
 
 def _rows_with_classes(docs: DataFrame, threshold: float, unit: int, id_col: str, text_col: str) -> DataFrame:
     """(uid, k, th, class_k, kept) of each row of docs."""
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL)).alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    src = small_batches(docs).select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL)).alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sig = durable(src.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_signatures, "uid long, k long, th long, d binary, n long, keys array<long>"))
-    reps = durable(sig.groupBy("d").agg(F.min(F.struct("k", "uid", "th")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("d", "first.*", "n", "keys"))
+    n = sig.count()
+    reps = durable(sig.groupBy("d").agg(F.min(F.struct("k", "uid", "th")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("d", "first.*", "n", "keys"), n)
     banded = reps.select("d", "n", F.posexplode("keys").alias("t", "key"))
     buckets = banded.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum(F.col("n") + WEIGHT) / unit).cast("int").alias("blocks")).where("m > 1").drop("m")
     block = F.pmod(F.xxhash64("d"), F.col("blocks").cast("long"))
-    near = durable(banded.join(buckets, ["t", "key"]).withColumn("block", block))
+    near = durable(banded.join(buckets, ["t", "key"]).withColumn("block", block), SAMPLES * n)
 
     # Texts that share a bucket, each with its places in the tables of the first pass.
     places = near.groupBy("d").agg(F.collect_list(F.when(F.col("t") < FIRST, F.struct("t", "key", F.col("block").alias("u")))).alias("at"))
     wanted = reps.join(places, "d").select("k", "th", "d", "n", "keys", "at")
     if not sig.groupBy("k", "th").count().where("count > 1").isEmpty():
         src = src.dropDuplicates(["k", "th"])  # repeated rows have one text
-    texts = durable(src.join(wanted, ["k", "th"]).select("d", "n", "keys", "at", "text"))
+    texts = durable(src.join(wanted, ["k", "th"]).select("d", "n", "keys", "at", "text"), SAMPLES * n)
 
     # First pass: the blocks of the first tables, each by itself.
     rows = texts.select("d", "n", "keys", "text", F.explode("at").alias("p")).select("d", "n", "keys", "text", "p.*")
-    one = _compare(rows.select("*", F.lit(-1).alias("side"), F.lit(-1).cast("long").alias("tried"), F.col("d").alias("label")), threshold)
-    classes = components(one)
+    one = _compare(rows.select("*", F.lit(-1).alias("side"), F.lit(-1).cast("long").alias("tried"), F.col("d").alias("label")), threshold, n)
+    classes = components(one, n)
     # Second pass: what is left, in buckets that hold texts of several classes.
-    two = _compare(_mixed_units(near, classes, unit).join(texts.drop("at"), "d"), threshold)
+    two = _compare(_mixed_units(near, classes, unit).join(texts.drop("at"), "d"), threshold, n)
     stars = classes.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     if not two.isEmpty():
-        classes = components(stars.union(two))
+        classes = components(stars.union(two), n)
     discard(near, texts, one, two)
 
     classed = reps.join(classes.withColumnRenamed("id", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
@@ -294,7 +295,7 @@ def keep_first(docs: DataFrame, threshold: float = 0.8, unit: int = UNIT, id_col
     """The rows of docs that near_classes keeps: one of each class, with all its columns."""
     rows = _rows_with_classes(docs, threshold, unit, id_col, text_col)
     k, th = temp_name(docs, "k"), temp_name(docs, "th")
-    stay = durable(rows.groupBy("k", "th").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("m")).where("kept").select(F.col("k").alias(k), F.col("th").alias(th), "m"))
+    stay = durable(rows.groupBy("k", "th").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("m")).where("kept").select(F.col("k").alias(k), F.col("th").alias(th), "m"), docs.count())
     marked = docs.withColumn(k, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL))).withColumn(th, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     out = marked.join(stay.where("m = 1"), [k, th], "left_semi")
     if not stay.where("m > 1").isEmpty():

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 from .components import runs
 
 #: Bytes of a window, and pieces that one packing unit holds on average.
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, id_col: st
     same = F.xxhash64(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "")) if cluster is None else cluster
     source = F.xxhash64(F.col(f"`{source_col}`")) if source_col in docs.columns else F.lit(None).cast("long")
     src = F.when(F.col(f"`{source_col}`").isNotNull(), source) if source_col in docs.columns else source
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("bytes"), src.alias("source"), same.alias("cluster"))
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("bytes"), src.alias("source"), same.alias("cluster"))
     rows = durable(rows.withColumn("uid", F.monotonically_increasing_id()))
     units = max(1, math.ceil(rows.where(F.col("bytes") % capacity > 0).count() / unit))
     full = rows.where(F.col("bytes") >= capacity).select("uid", F.explode(F.sequence(F.lit(0), F.floor(F.col("bytes") / capacity).cast("int") - 1)).alias("piece"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, rows_of
+from .common import by_bytes, rows_of, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, n: int = 3, path: str = MODEL, with_ids: bool = True
     a space there. Each row is encoded for itself; ids may be null or repeated. Other columns are ignored.
     No shuffle; each worker keeps the results of recent chunks, at most CACHE of them.
     """
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    src = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

@@ -6,12 +6,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, mix, rows_of, temp_name
+from .common import PIECE_BYTES, Words, by_bytes, mix, rows_of, small_batches, temp_name
 
 BITS = 20
 #: Bytes of the word beginnings that are features besides whole words.
@@ -131,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     rows among these labels. Labels that are null, or of ids that no document has, are ignored, as are rows without an id. Without labels, or without documents,
     every score is that of an empty text.
     """
-    said = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    said = small_batches(labels).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     prior = said.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id is not null").where(~held_out(F.col("id")))
     order = [F.xxhash64("id"), F.col("id")]
@@ -149,17 +148,18 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from threshold on) to each row, named with trailing _ if docs has such columns; null texts score as empty ones."""
-    sc = docs.sparkSession.sparkContext
+    sc = small_batches(docs).sparkSession.sparkContext
     shared = sc.broadcast((np.flatnonzero(model.weights).astype(np.int32), model.weights[np.flatnonzero(model.weights)], model.bias, model.prior))
 
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, w, bias, prior = shared.value
         full = np.zeros(1 << BITS)
         full[at] = w
         m = Model(full, bias, prior)
-        for s in batches:
-            yield pd.Series(m.score([x if isinstance(x, str) else None for x in s]), dtype="float64")
+        for texts in batches:
+            step = max(1, len(texts) * PIECE_BYTES // max(texts.nbytes, 1))
+            yield pa.array(np.concatenate([np.zeros(0), *(m.score(texts.slice(i, step).to_pylist()) for i in range(0, len(texts), step))]))
 
     name = temp_name(docs, "score")
     out = docs.withColumn(name, toxicity(F.col(f"`{text_col}`")))
