@@ -65,3 +65,27 @@ o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM own GROUP
 SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(h.labels, ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(coalesce(h.labels, []) || coalesce(o.labels, []))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+
+#: CRC-32 of the bytes in hex text h of a column, with the table t of the reflected polynomial 0xEDB88320, made by its rule.
+_CRC_TABLE = "tab AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(i)))"
+
+SHARDS = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, n + 16 AS size, xor(list_reduce([4294967295] || list_transform(range(0, n), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM d, tab),
+p AS (SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
+
+#: Strings are compared by their 128-bit hashes; places are counted in bytes, so two hex digits each.
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT u, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT u, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT u, i, lag(i) OVER (PARTITION BY u ORDER BY i) AS before FROM s WHERE k IN (SELECT k FROM twice)),
+run AS (SELECT u, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY u ORDER BY i) AS r FROM hit),
+cut AS (SELECT u, r, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY u, r),
+gap AS (SELECT u, a, b, coalesce(lag(b) OVER (PARTITION BY u ORDER BY a), 0) AS from_ FROM cut),
+kept AS (SELECT u, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS text FROM gap JOIN d USING (u) GROUP BY u)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE text || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (u)"""

@@ -57,4 +57,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_fingerprints, op3_packing, op4_embeddings, op5_repeats, op6_toxicity, op7_sharding, op8_lines, op9_near, op10_licenses)}
-ORACLES: dict[str, str] = {"op4_embeddings": oracles.VECTORS, "op8_lines": oracles.LINES, "op10_licenses": oracles.licenses()}
+ORACLES: dict[str, str] = {"op4_embeddings": oracles.VECTORS, "op5_repeats": oracles.REPEATS, "op7_sharding": oracles.SHARDS, "op8_lines": oracles.LINES, "op10_licenses": oracles.licenses()}
