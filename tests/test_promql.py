@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import promql
+from tidemark.plans.promql import evaluate
 from tidemark.plans.promql.parse import Binary, PromQLError, Subquery, parse
 
 BASE = 1767225600000
@@ -23,6 +24,7 @@ def metrics(spark):
 A, B, H = '__name__="up",instance="a",job="api"', '__name__="up",instance="b",job="api"', '__name__="http_requests_total",job="api"'
 
 
+@pytest.mark.parametrize("copies", [32, 0])
 @pytest.mark.parametrize(
     "expr, want",
     [
@@ -36,7 +38,8 @@ A, B, H = '__name__="up",instance="a",job="api"', '__name__="up",instance="b",jo
         ("changes(http_requests_total[1m])", {'job="api"': 3}), ("mad_over_time(resets_total[1m])", {"": 2}), ("count_over_time(up[31s])", {'instance="a",job="api"': 3, 'instance="b",job="api"': 3}), ("avg_over_time(http_requests_total[1m])", {'job="api"': 15}), ("idelta(resets_total[1m])", {"": 4}), ("increase(resets_total[20s])", {"": 4 * 20 / 15}), ("last_over_time(up[1m])", {A: 1, B: 0}), ("clamp(http_requests_total, 1, 20)", {'job="api"': 20}), ("round(vector(2.5))", {"": 3}), ("timestamp(up) > bool 0", {'instance="a",job="api"': 1, 'instance="b",job="api"': 1}), ("hour()", {"": 0}), ("stddev(up)", {"": 0.5}), ("sum by (instance) (up) * 2", {'instance="a"': 2, 'instance="b"': 0}),
     ],
 )
-def test_instant(metrics, expr, want):
+def test_instant(metrics, expr, want, copies, monkeypatch):
+    monkeypatch.setattr(evaluate, "FEW_COPIES", copies)
     got = {r.metric: r.value for r in promql.query_instant(metrics, expr, BASE + 45_000).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 

@@ -21,6 +21,8 @@ from ...model import ms_of
 from .parse import Aggregate, Binary, Call, Negate, Number, PromQLError, Selector, String, Subquery, parse
 
 LOOKBACK_MS, MAX_POINTS = 300_000, 11_000
+#: Steps that a sample may be copied to.
+FEW_COPIES = 32
 _NAME = "__name__"
 
 
@@ -152,6 +154,8 @@ class Evaluator:
         total = lambda c: F.sum(F.when(c[0], c[1]).otherwise(0.0)).over(upto)
         sample = F.struct("t", "v", "pt", "pv", F.row_number().over(w).alias("rank"), total((fell, F.col("pv"))).alias("drops"), total((fell, F.lit(1.0))).alias("falls"), total((F.col("pv") != F.col("v"), F.lit(1.0))).alias("turns"))
         rows = df.select(*ids, "t", sample.alias("s"))
+        if span <= FEW_COPIES * g.step:  # a sample serves few steps: dealing it out is cheaper than a second pass over the series
+            return Evaluator.deal(rows, g, shift, span).groupBy(*ids, "k").agg(F.min("s").alias("f"), F.max("s").alias("l"))
         rows = rows.select(*ids, "t", "s", F.lead("s").over(w).alias("next"))
         begin, step = g.start - shift, F.lit(g.step)
         k0 = F.greatest(F.ceil((F.min("t") - begin) / step), F.lit(0)).cast("int")
