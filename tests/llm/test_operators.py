@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
 import time
 import unicodedata
@@ -91,6 +92,61 @@ def test_pieces_nbest_is_exact():
     assert all(m.decode(p) == text for _, p in m.segmentations(text, 5))
 
 
+def test_pieces_of_words_searched_together():
+    m = pieces.PieceModel(pieces.MODEL)
+    rng = random.Random(7)
+    parts = ["the", "ing", "er", "é", "ß", "Ab", "7", ".", ",\n", "%%%", "日本", "\U0001f9ff", "\ud800", "\0", "q", "\t\n"]
+    words = list({"".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000)} - {""})[:3000] + ["x" * pieces.LONG, "ab" * 200]
+    for n in (1, 3, 5):
+        for w in words[:300] + words[-2:]:
+            want = m.segmentations(w, n)
+            ids, scores = m.encode(w, n)
+            assert scores == [s for s, _ in want] and np.frombuffer(ids, m.width).tolist() == want[0][1]
+        entries = m._entries(words[:3000], n)
+        assert all(e is None or e == m._word(w, n) for w, e in zip(words, entries)) and sum(e is None for e in entries) < 1000
+    whole = " ".join(words)
+    want = m.segmentations(whole, 3)
+    texts = [whole, None, "", " two  spaces ", "a▁b", whole[: len(whole) // 2]]
+    got = m.encode_all(texts)
+    assert got[0][1] == [s for s, _ in want] and np.frombuffer(got[0][0], m.width).tolist() == want[0][1]
+    assert got[1:3] == [(b"", [0.0])] * 2 and [m.encode(t) for t in texts] == got
+
+
+@pytest.mark.parametrize("tries", [1, 1000])
+def test_pieces_trie_has_all_beginnings(tries, monkeypatch):
+    monkeypatch.setattr(pieces, "TRIES", tries)
+    rng = random.Random(3)
+    chars = [chr(c) for c in rng.sample(range(32, 5000), 600)]
+    m = object.__new__(pieces.PieceModel)
+    m.pieces = {w: (i, -float(i)) for i, w in enumerate({a + b + c for a in chars[:60] for b in rng.sample(chars, 150) for c in ("", chars[0])})}
+    m.begins = {p[:i]: None for p in m.pieces for i in range(1, len(p))} | m.pieces
+    m._trie()
+
+    def node(word):
+        v = 0
+        for c in word:
+            slot = m.base[v] + (m.symbol[ord(c)] if ord(c) < len(m.symbol) else 0)
+            if m.owner[slot] != v:
+                return None
+            v = m.child[slot]
+        return v
+
+    assert len({node(p) for p in m.begins} - {None, 0}) == len(m.begins)
+    assert all((m.token[node(p)], m.score[node(p)], m.depth[node(p)]) == (*x, len(p)) for p, x in m.pieces.items())
+    for _ in range(2000):
+        w = "".join(rng.choices([*chars, "\U0001f9ff", "\0"], k=rng.randint(1, 4)))
+        assert (node(w) is not None) == (w in m.begins)
+
+
+def test_pieces_new_words_cost_no_search_each(monkeypatch):
+    rng = random.Random(7)
+    calls, search = [], pieces.PieceModel.nbest
+    monkeypatch.setattr(pieces.PieceModel, "nbest", lambda self, chunk, n: calls.append(chunk) or search(self, chunk, n))
+    text = " ".join({"".join(rng.choices(["tion", "und", "the", "er", "an", "wh"], k=6)) for _ in range(3000)})
+    pieces.PieceModel(pieces.MODEL).encode(text)
+    assert 0 <= len(calls) < len(text.split(" ")) // 4
+
+
 @both()
 def test_pieces(name, request):
     docs = request.getfixturevalue(name)
