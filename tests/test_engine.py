@@ -15,6 +15,7 @@ from tidemark.model import INGEST_NS, METRICS, empty, stamp
 from tidemark.operators import alerts, joins, lifecycle, logs, metrics
 from tidemark.operators.union import union_by_name
 from tidemark.plans import logql, params, sqlapi
+from tidemark.queries import QUERIES
 from tidemark.sources import catalog, sinks
 from tidemark.sources.catalog import Segment
 from tidemark.streaming import pipeline
@@ -247,6 +248,24 @@ def test_sinks(spark):
     assert sinks.scrape("x", lambda _: 1 / 0) == ["up 0"]
 
 
+def test_ngrams_of_a_long_text(spark):
+    """In one pass; walking a text from its start for each of its runs took minutes here."""
+    assert one(spark, sinks.ngrams(F.col("c")), c="A\U0001f600\nB\u00e9") == ["a\U0001f600\n", "\U0001f600\nb", "\nb\u00e9"]
+    spark.range(1, numPartitions=1).select(F.size(sinks.ngrams(F.lit("warm")))).collect()
+    began = time.time()
+    n = 500_000
+    df = spark.range(1, numPartitions=1).select(F.repeat(F.lit("ab\u00e9D "), n // 5).alias("c"))
+    assert df.select(F.size(sinks.ngrams(F.col("c"))).alias("n")).first().n == n - 2
+    assert time.time() - began < 15
+
+
+def test_token_index_skip(spark, tmp_path):
+    """Rows without a file's name are a file, as they are in SQL."""
+    rows = [("a", "the LiCense"), ("b", "no lice, no dense"), (None, "license"), (None, None)]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.file for r in QUERIES["token_index_skip"](spark, str(tmp_path)).collect()} == {"a", None}
+
+
 # --- streaming ---------------------------------------------------------------------------------
 
 

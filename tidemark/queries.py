@@ -526,7 +526,7 @@ def token_index_words(spark, d):
 def token_index_skip(spark, d):
     df = table(spark, d, "documents")
     may = sinks.files_with(sinks.token_index(df, "text", F.col("source")), "license")
-    return df.where(F.contains(F.lower("text"), F.lit("license"))).join(may, df.source == may.file, "left_semi").select(F.col("source").alias("file")).distinct()
+    return df.where(F.contains(F.lower("text"), F.lit("license"))).join(may, df.source.eqNullSafe(may.file), "left_semi").select(F.col("source").alias("file")).distinct()
 
 
 @_register("""SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","x":null}' AS "value" FROM events""")

@@ -33,10 +33,8 @@ def word_tokens(c: Column) -> Column:
 
 
 def ngrams(c: Column, n: int = 3) -> Column:
-    """Runs of n code points of the lower-cased text; none if it is shorter."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    size = F.char_length(low) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
+    """Runs of n code points of the lower-cased text; none if it is shorter. One pass: substring() at each place would walk the text from its start."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:
