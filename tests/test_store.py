@@ -6,6 +6,7 @@ import shutil
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.parsers import parse_exposition, parse_scrape
 from tidemark.limits import Admission, Busy
@@ -17,6 +18,7 @@ from tidemark.sources.scrape import ScrapeReader, ScrapeSource
 from tidemark.sources.tail import TailReader, register
 from tidemark.store import Store, exposition, reconcile, widest
 from tidemark.plans.promql import parse
+from tidemark.queries_engine import store_logql
 
 T = 1_704_067_200.0
 
@@ -138,6 +140,15 @@ def test_vanished_files(spark, tmp_path):
     assert df.count() == 1 and s.metrics().count() == 1
 
 
+def test_store_logql_counts_all(spark, tmp_path):
+    """More rows than the limit of one LogQL query."""
+    n = 9_000
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("MIT License").alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("user",)], "role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = store_logql(spark, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [("en", n // 3 * 2)] and out.columns == ["format", "n"]
+
+
 def test_log_pruning(spark, tmp_path):
     now = [T]
     s = Store(spark, str(tmp_path), "acme", clock=lambda: now[0])

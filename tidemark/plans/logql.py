@@ -119,14 +119,18 @@ def stream_labels(df: DataFrame) -> Column:
     return render_labels(F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"] != "")))
 
 
+def all_rows(logs: DataFrame, query: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """(stream, ts_ns, line) of all rows of a range in no order, for aggregates; streams() is for query_rows."""
+    df = select(logs, query, start_ns, end_ns)
+    return df.select(stream_labels(df).alias("stream"), F.col(INGEST_NS).alias("ts_ns"), line_of(df).alias("line"))
+
+
 def query_rows(logs: DataFrame, query: str, start_ns: int | None = None, end_ns: int | None = None, newest_first: bool = True, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(stream, ts_ns, line): the newest or oldest rows; ties are ordered by stream and line. The limit is part of the query."""
     if not 0 < limit <= MAX_LIMIT:
         raise LogQLError(f"the limit must be within 1 and {MAX_LIMIT}")
-    df = select(logs, query, start_ns, end_ns)
-    df = df.select(stream_labels(df).alias("stream"), F.col(INGEST_NS).alias("ts_ns"), line_of(df).alias("line"))
     t = F.col("ts_ns")
-    return df.orderBy(t.desc() if newest_first else t.asc(), "stream", "line").limit(limit)
+    return all_rows(logs, query, start_ns, end_ns).orderBy(t.desc() if newest_first else t.asc(), "stream", "line").limit(limit)
 
 
 def streams(rows: DataFrame) -> DataFrame:

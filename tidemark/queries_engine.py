@@ -260,12 +260,12 @@ def store_logs(spark, d):
 
 @_register("SELECT lang AS format, count(*) AS n FROM documents WHERE doc_id % 3 > 0 AND contains(text, 'License') GROUP BY 1")
 def store_logql(spark, d):
-    """A LogQL range over the segments that may hold it."""
+    """All rows of a LogQL range, counted over the segments that may hold it."""
     s, _ = _logs_store(spark, d)
     low = (T0 + 86_400_000) * 1_000_000
     assert len(s.logs(None, low // 1_000_000, None).inputFiles()) < len(s.logs().inputFiles())
-    out = s.logql('{format=~".+"} |= "License"', low, None, limit=5000)
-    return out.select(parse_labels(F.col("stream"))["format"].alias("format"), F.size("entries").cast("long").alias("n")).groupBy("format").agg(F.sum("n").alias("n"))
+    out = s.logql_rows('{format=~".+"} |= "License"', low).groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+    return out.select(parse_labels(F.col("stream"))["format"].alias("format"), "n").groupBy("format").agg(F.sum("n").alias("n"))
 
 
 @_register("SELECT 'format' AS label, lang AS label_value FROM documents GROUP BY ALL UNION ALL SELECT 'template', role FROM conversations GROUP BY ALL UNION ALL SELECT 'job', 'tidemark'")

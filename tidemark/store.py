@@ -337,12 +337,22 @@ class Store:
         """Opens the segments of the range widened by the lookback and the longest range in the expression."""
         return promql.query_range(self.metrics(start_ms - widest(promql.parse(expr)), end_ms + 1), expr, start_ms, end_ms, step_ms)
 
-    def logql(self, query: str, start_ns: int | None = None, end_ns: int | None = None, lookback_ms: int = 0, **options) -> DataFrame:
-        """Opens the log segments that may hold rows of the range; an open start goes back by lookback_ms, if that is set."""
+    def _log_range(self, start_ns: int | None, end_ns: int | None, lookback_ms: int) -> tuple[DataFrame, int | None]:
+        """The log segments that may hold rows of the range, and its start; an open start goes back by lookback_ms, if that is set."""
         start = recent_floor(start_ns // 1_000_000 if start_ns else 0, self.now_ms(), lookback_ms) or None
         end = None if end_ns is None else end_ns // 1_000_000 + 1
         floor = None if start is None else max(start_ns or 0, start * 1_000_000)
-        return logql.streams(logql.query_rows(self.logs(None, start, end), query, floor, end_ns, **options))
+        return self.logs(None, start, end), floor
+
+    def logql(self, query: str, start_ns: int | None = None, end_ns: int | None = None, lookback_ms: int = 0, **options) -> DataFrame:
+        """Streams with their entries, as many as the limit at most. Opens the log segments that may hold rows of the range."""
+        logs, floor = self._log_range(start_ns, end_ns, lookback_ms)
+        return logql.streams(logql.query_rows(logs, query, floor, end_ns, **options))
+
+    def logql_rows(self, query: str, start_ns: int | None = None, end_ns: int | None = None, lookback_ms: int = 0) -> DataFrame:
+        """(stream, ts_ns, line) of all rows that logql() chooses from, without its limit."""
+        logs, floor = self._log_range(start_ns, end_ns, lookback_ms)
+        return logql.all_rows(logs, query, floor, end_ns)
 
     def _views(self, start: int | None, end: int | None) -> dict[str, DataFrame]:
         logs = {a: prune(self.segments(s), start, end) for a, s in self.state["logs"].items()}
