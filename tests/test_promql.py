@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import promql
 from tidemark.plans.promql import evaluate
 from tidemark.plans.promql.parse import Binary, PromQLError, Subquery, parse
+from tidemark.queries import QUERIES
 
 BASE = 1767225600000
 
@@ -49,6 +50,27 @@ def test_range_and_lookback(metrics):
     assert sorted(r.t for r in got) == list(range(BASE, BASE + 345_000, 15_000))  # (t - 5m, t]
 
 
+def test_histogram_quantile(spark):
+    """Labels are parsed by series, not by sample, and buckets without a bound are no buckets."""
+    rows = [("h", f'job="{j}"{le}', v) for j, buckets in {"a": {',le="1"': 2.0, ',le="5"': 8.0, ',le="+Inf"': 10.0, ',le="x"': 99.0, "": 99.0}, "b": {"": 1.0, ',le="y"': 2.0}, "c": {',le="+Inf"': 1.0}, "d": {',le="1"': 1.0, ',le="2"': 1.0}}.items() for le, v in buckets.items()]
+    m = spark.createDataFrame(rows, "`__name__` string, labels string, value double").withColumn("timestamp_ms", F.lit(0).cast("long")).withColumn("ts", F.timestamp_millis(F.lit(BASE)).cast("timestamp_ntz"))
+    out = promql.query_instant(m, "histogram_quantile(0.5, h)", BASE)
+    assert [(r.metric, r.value) for r in out.collect()] == [('job="a"', pytest.approx(1 + 4 * 3 / 6))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x.split("(")[0] and "regexp" in x]
+
+
+def test_histogram_of_events(spark, tmp_path):
+    """Events are counted before buckets are made of them."""
+    rows = [("x", v) for v in (0.5, 1.0, 9.0, 60.0, 200.0, float("inf"), float("nan"), None)] + [("none", None)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["prom_histogram_quantile"](spark, str(tmp_path))
+    assert {r.metric: r.value for r in out.collect()}['type="x"'] == 100.0
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = {kind: max(i for i, x in enumerate(plan) if kind in x) for kind in ("Aggregate", "Generate")}
+    assert last["Generate"] < last["Aggregate"]
+
+
 def test_metadata(metrics):
     assert [r.label for r in promql.label_names(metrics, [], BASE, BASE + 60_000).collect()] == ["__name__", "instance", "job"]
     assert [r.label_value for r in promql.label_values(metrics, "instance", ["up"], BASE, BASE + 60_000).collect()] == ["a", "b"]

@@ -485,10 +485,12 @@ class Evaluator:
     def histogram(self, q: float, df: DataFrame) -> Vector:
         le = F.col("labels")["le"]
         bound = F.when(le.isin("+Inf", "Inf", "inf"), F.lit(float("inf"))).otherwise(le.try_cast("double"))
-        df = df.withColumn("le", bound).where("le is not null").withColumn("gk", _key(drop(F.col("labels"), ["le", _NAME])))
+        df = df.withColumn("le", bound).withColumn("gk", _key(drop(F.col("labels"), ["le", _NAME])))
         # A group has one row for each of a histogram's buckets, whose number is part of the metric's definition.
-        df = df.groupBy("k", "gk", "le").agg(F.sum("v").alias("v")).groupBy("k", "gk").agg(F.array_sort(F.collect_list(F.struct("le", "v"))).alias("b"))
-        df = df.where(F.element_at("b", -1)["le"] == float("inf")).where(F.size("b") >= 2)
+        # Rows without a bound go here, for a filter on it would be pushed down to the samples and parse the labels of each.
+        bucket = F.when(F.col("le").isNotNull(), F.struct("le", "v"))
+        df = df.groupBy("k", "gk", "le").agg(F.sum("v").alias("v")).groupBy("k", "gk").agg(F.array_sort(F.collect_list(bucket)).alias("b"))
+        df = df.where(F.size("b") >= 2).where(F.try_element_at("b", F.lit(-1))["le"] == float("inf"))
         total = F.element_at("b", -1)["v"]
         df = df.withColumn("total", total).withColumn("rank", F.lit(q) * F.col("total"))
         df = df.withColumn("i", F.expr("int(array_position(transform(b, x -> x.v >= rank), true))"))

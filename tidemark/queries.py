@@ -460,9 +460,11 @@ SELECT 'type="' || name || '"' AS metric, round(CASE WHEN isinf(le) THEN ple ELS
 
 @_register(_BUCKETS)
 def prom_histogram_quantile(spark, d):
-    les = F.array(*[F.struct(F.lit(x).alias("le"), F.lit(t).alias("txt")) for x, t in ((1.0, "1"), (10.0, "10"), (25.0, "25"), (50.0, "50"), (100.0, "100"), (float("inf"), "+Inf"))])
-    b = table(spark, d, "events").select("event_type", "value", F.explode(les).alias("b")).groupBy("event_type", "b").agg(F.count_if(F.col("value") <= F.col("b.le")).cast("double").alias("value"))
-    m = b.select(F.lit("hist_bucket").alias("__name__"), F.concat(F.lit('type="'), "event_type", F.lit('",le="'), "b.txt", F.lit('"')).alias("labels"), "value", F.lit(0).cast("long").alias("timestamp_ms"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+    bounds = ((1.0, "1"), (10.0, "10"), (25.0, "25"), (50.0, "50"), (100.0, "100"), (float("inf"), "+Inf"))
+    # One row an event type, so buckets are made of counts and not of events.
+    counts = table(spark, d, "events").groupBy("event_type").agg(*[F.count_if(F.col("value") <= x).cast("double").alias(f"n{i}") for i, (x, _) in enumerate(bounds)])
+    b = counts.select("event_type", F.explode(F.array(*[F.struct(F.lit(t).alias("txt"), F.col(f"n{i}").alias("value")) for i, (_, t) in enumerate(bounds)])).alias("b")).select("event_type", "b.*")
+    m = b.select(F.lit("hist_bucket").alias("__name__"), F.concat(F.lit('type="'), "event_type", F.lit('",le="'), "txt", F.lit('"')).alias("labels"), "value", F.lit(0).cast("long").alias("timestamp_ms"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
     return promql.query_instant(m, "histogram_quantile(0.9, hist_bucket)", T0).select("metric", F.round("value", 6).alias("value"))
 
 
