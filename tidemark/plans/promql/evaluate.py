@@ -64,7 +64,8 @@ class Scalar:
 
 
 def _key(labels: Column) -> Column:
-    return render_labels(labels)
+    # Never null, so that joins put no filter on it, which would be pushed down to the samples and parse the labels of each.
+    return F.coalesce(render_labels(labels), F.lit(""))
 
 
 class Evaluator:
